@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from .decontaminate import OP10_SQL, op10_decontaminate
+from .neardup import OP1_SQL, op1_near_duplicates
 from .tokens import op9_token_counts
 
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op9_token_counts": op9_token_counts,
     "op10_decontaminate": op10_decontaminate,
 }
 SQL = {
+    "op1_near_duplicates": OP1_SQL,
     "op10_decontaminate": OP10_SQL,
 }
