@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .neardup import OP1_SQL, op1_near_duplicates
+from .sharding import OP3_SQL, op3_shards
 from .tokens import op9_token_counts
 
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op3_shards": op3_shards,
     "op9_token_counts": op9_token_counts,
     "op10_decontaminate": op10_decontaminate,
 }
 SQL = {
     "op1_near_duplicates": OP1_SQL,
+    "op3_shards": OP3_SQL,
     "op10_decontaminate": OP10_SQL,
 }
