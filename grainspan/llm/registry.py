@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .neardup import OP1_SQL, op1_near_duplicates
+from .quality import op8_quality
 from .sharding import OP3_SQL, op3_shards
 from .tokens import op9_token_counts
 
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op3_shards": op3_shards,
+    "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_decontaminate": op10_decontaminate,
 }
