@@ -13,8 +13,8 @@ Documents are sets of distinct five-word shingles; two are linked if 100 * inter
 
 No list is expanded into all pairs: first each list's members meet one hub, the member whose values are
 most shared in the whole corpus (in a family of copies, the original), which joins a family of any size
-with as many pairs as members. Only members that are then still in different components meet each other,
-so no link between components is lost.
+with as many pairs as members. Components that then still share a list are compared on full sets in blocks of
+bounded size, without their largest component's own pairs, so no link between components is lost.
 
 A pair at exactly 0.85 agrees in 54 of 64 coordinates on average and is missed below 41, about once in
 50,000 such pairs; more similar pairs are missed far more seldom.
@@ -42,6 +42,8 @@ COORDINATES = 64
 MATCHES = 41
 PREFIX = COORDINATES - MATCHES + 1
 SAME, OF = 100, 85
+#: Documents of a block that is compared at once, and shingles of one step of the comparison.
+BLOCK, COLUMNS = 256, 1 << 13
 #: Up to so many ids of candidates (16 MB) are broadcast to pick their texts; beyond it they are joined.
 BROADCAST_IDS = 1 << 20
 
@@ -143,11 +145,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         wanted = candidates.select("rep")
         if n_candidates <= BROADCAST_IDS:
             wanted = F.broadcast(wanted)
-        sets = scratch.save(
-            docs.join(wanted, docs.doc_id == wanted.rep, "left_semi").dropDuplicates(["doc_id"]) .mapInArrow(_full_sets, "rep long, members binary")
-            if _repeated(classes, signed)
-            else docs.join(wanted, docs.doc_id == wanted.rep, "left_semi").mapInArrow(_full_sets, "rep long, members binary")
-        )
+        sets = scratch.save(docs.join(wanted, docs.doc_id == wanted.rep, "left_semi").mapInArrow(_full_sets, "rep long, members binary"))
         sigs = scratch.save(reps.join(wanted, "rep", "left_semi").select("rep", "sig").dropDuplicates(["rep"]))
         lists = scratch.save(candidates.select("rep", "weight", F.explode("prefix").alias("key")))
 
@@ -156,20 +154,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = scratch.save(_confirmed(stars, sigs, sets))
         linked = connected(links.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
 
-        # Members of one list that are still in different components meet each other.
+        # Components that still share a list are compared member by member, in blocks.
         named = lists.join(linked, lists.rep == linked.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-        mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-        named = scratch.save(named.join(mixed, "key"))
-        one, two = named.alias("one"), named.alias("two")
-        pairs = (
-            one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.rep") < F.col("two.rep")) & (F.col("one.component") != F.col("two.component")))
-            .select(F.col("one.rep").alias("x"), F.col("two.rep").alias("y"))
-            .distinct()
-        )
-        more = scratch.save(_confirmed(pairs, sigs, sets))
-        if not more.isEmpty():
-            every = links.unionByName(more)
-            linked = connected(every.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
+        mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key", "lo")
+        named = scratch.save(named.join(mixed, "key").select("rep", "component", "lo").distinct())
+        if not named.isEmpty():
+            families = connected(named.select(F.col("component").alias("a"), F.col("lo").alias("b")), scratch)
+            more = scratch.save(_blockwise(named.select("rep", "component").distinct(), families, sets, scratch))
+            if not more.isEmpty():
+                linked = connected(links.select("x", "y").unionByName(more).select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
 
     # Classes that are alone need no answer but their own.
     joined = classes.join(linked, classes.rep == linked.node, "left").filter("component is not null or rep < last").select("fp", F.coalesce("component", "rep").alias("component"))
@@ -178,11 +171,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _repeated(classes: DataFrame, signed: DataFrame) -> bool:
-    """Whether one doc_id stands for several classes, which takes rows that repeat an id."""
-    return not classes.filter("rep is not null").groupBy("rep").count().filter("count > 1").isEmpty()
-
-
 def _confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (x, y) whose signatures agree in MATCHES coordinates and whose full sets are linked."""
     left, right = sigs.select(F.col("rep").alias("x"), F.col("sig").alias("sig_x")), sigs.select(F.col("rep").alias("y"), F.col("sig").alias("sig_y"))
@@ -192,6 +180,77 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.select("x", "y", "set_x", "set_y").mapInArrow(_confirm, "x long, y long")
 
 
+def _blockwise(members: DataFrame, families: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (x, y) between different components of a family, from full sets.
+
+    A family's largest component and the rest of its members are each dealt into blocks of about ``BLOCK`` by hash.
+    The rest meets itself and the largest component, block by block; the largest is never compared with
+    itself. So a large family that the hubs have joined costs its few other members times its size, in tasks of
+    bounded size, and what a task returns is at most one link for each component it sees.
+    """
+    placed = members.join(families, members.component == families.node).select("rep", members.component, families.component.alias("family"))
+    sizes = placed.groupBy("family", "component").agg(F.count("*").alias("n"))
+    totals = scratch.save(sizes.groupBy("family").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all")))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    placed = placed.join(totals, "family").select(
+        "family", "rep", "component", (F.col("component") == F.col("top.component")).alias("main"), blocks(F.col("top.n")).alias("mains"), blocks(F.col("all") - F.col("top.n")).alias("rests")
+    )
+    own = F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rests"))).cast("int")
+    placed = placed.withColumn("own", own)
+    # A task is a block of the rest against another of the rest (0 and up) or against one of the largest (-1 and down).
+    meets = F.expr(
+        "if(main, transform(sequence(0, rests - 1), r -> struct(r as one, -1 - own as two)), "
+        "concat(transform(sequence(0, rests - 1), r -> struct(least(r, own) as one, greatest(r, own) as two)), transform(sequence(1, mains), m -> struct(own as one, -m as two))))"
+    )
+    tasks = placed.select("family", "rep", "component", F.explode(meets).alias("task"))
+    tasks = tasks.join(sets, "rep").select("family", "task.one", "task.two", "rep", "component", "members")
+    return tasks.groupBy("family", "one", "two").applyInPandas(_links_in_block, "x long, y long")
+
+
+def _links_in_block(block):
+    """At most one verified link between any two components in the block, and no more than join them."""
+    import pandas as pd
+
+    block = block.drop_duplicates(["rep", "component"])
+    parts = [np.frombuffer(m, np.uint64) for m in block["members"]]
+    rep, component = block["rep"].to_numpy(), block["component"].to_numpy()
+    size = np.array([p.size for p in parts])
+    row = np.repeat(np.arange(len(parts)), size)
+    value = np.concatenate(parts)
+    order = np.argsort(value)
+    value, row = value[order], row[order]
+    first = np.concatenate([[True], value[1:] != value[:-1]])
+    number = np.cumsum(first) - 1
+    seen = np.bincount(number)
+    keep = seen[number] > 1  # what only one document has is in no intersection
+    number, row = np.cumsum(np.concatenate([[True], np.diff(number[keep]) > 0])) - 1 if keep.any() else number[keep], row[keep]
+    common = np.zeros((len(parts), len(parts)), np.float32)  # counts stay exact below 2 ** 24
+    total = int(number[-1]) + 1 if number.size else 0
+    for lo in range(0, total, COLUMNS):
+        a, b = np.searchsorted(number, [lo, lo + COLUMNS])
+        has = np.zeros((len(parts), min(COLUMNS, total - lo)), np.float32)
+        has[row[a:b], number[a:b] - lo] = 1
+        common += has @ has.T
+    common = common.astype(np.int64)
+    good = (SAME * common >= OF * (size[:, None] + size[None, :] - common)) & (component[:, None] != component[None, :])
+    xs, ys = np.nonzero(np.triu(good, 1))
+    root = {c: c for c in component.tolist()}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    for i, j in zip(xs.tolist(), ys.tolist(), strict=True):
+        a, b = find(int(component[i])), find(int(component[j]))
+        if a != b:
+            root[a] = b
+            out.append((int(rep[i]), int(rep[j])))
+    return pd.DataFrame(out, columns=["x", "y"], dtype="int64")
+
+
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
