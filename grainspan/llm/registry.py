@@ -6,6 +6,7 @@ from .ann import op5_nearest
 from .ctw import op6_lm_score
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .html import op2_html_text
+from .mixing import op4_mixing
 from .neardup import OP1_SQL, op1_near_duplicates
 from .quality import op8_quality
 from .sharding import OP3_SQL, op3_shards
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_html_text": op2_html_text,
     "op3_shards": op3_shards,
+    "op4_mixing": op4_mixing,
     "op5_nearest": op5_nearest,
     "op6_lm_score": op6_lm_score,
     "op8_quality": op8_quality,
