@@ -203,22 +203,35 @@ class Top:
         return self.rest1[at], self.taken1[at]
 
 
+def turn(x: np.ndarray, depth: int) -> np.ndarray:
+    """Packed strings or nodes with the last two context bytes in front, so that a group's stand together."""
+    return (((x >> _U(8)) & _U(0xFFFF)) << _U(8 * depth - 8)) | ((x >> _U(24)) << _U(8)) | (x & _U(255))
+
+
+def turn_back(x: np.ndarray, depth: int) -> np.ndarray:
+    rest = x & _U((1 << (8 * depth - 8)) - 1)
+    return ((rest >> _U(8)) << _U(24)) | ((x >> _U(8 * depth - 8)) << _U(8)) | (x & _U(255))
+
+
 class Model:
-    """A block of the model as sorted arrays, for contexts whose last byte is in ``last`` (None: any)."""
+    """A block of the model as sorted arrays, for contexts whose last byte is in ``last`` (None: any).
+
+    ``gram`` and ``cost`` hold the strings seen and their log10 probabilities; ``nodes`` has, by depth, nodes and
+    the probability of a one there. All but the nodes at depths 0 and 1 are turned.
+    """
 
     def __init__(self, gram: np.ndarray, cost: np.ndarray, nodes: list, depth: int = DEPTH, last: np.ndarray | None = None):
         self.gram, self.cost, self.nodes, self.depth, self.last = gram, cost, nodes, depth, last
 
-    def costs(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probabilities of distinct strings, sorted."""
-        out = np.zeros(keys.size)
-        at = np.searchsorted(self.gram, keys)
+    def costs(self, turned: np.ndarray) -> np.ndarray:
+        """log10 probabilities of distinct turned strings, sorted."""
+        out = np.zeros(turned.size)
+        at = np.searchsorted(self.gram, turned)
         at[at == self.gram.size] = 0
-        known = self.gram[at] == keys if self.gram.size else np.zeros(keys.size, bool)
+        known = self.gram[at] == turned if self.gram.size else np.zeros(turned.size, bool)
         out[known] = self.cost[at[known]]
-        new = keys[~known]
-        if new.size:
-            out[~known] = self._unseen(new)
+        if not known.all():
+            out[~known] = self._unseen(turn_back(turned[~known], self.depth))
         return out
 
     def _unseen(self, keys: np.ndarray) -> np.ndarray:
@@ -226,19 +239,20 @@ class Model:
         out = np.zeros(keys.size)
         for level in range(8):
             low = _U(1 << level) | (byte >> _U(8 - level))
-            q = np.full(keys.size, np.nan)
+            q = np.full(keys.size, 0.5)
             todo = np.arange(keys.size)
             for d in range(self.depth, -1, -1):
                 node, p = self.nodes[d]
                 if not node.size or not todo.size:
                     continue
                 want = (((keys[todo] >> _U(8)) & _U((1 << (8 * d)) - 1)) << _U(8)) | low[todo]
+                if d > 1:
+                    want = turn(want, d)
                 at = np.searchsorted(node, want)
                 at[at == node.size] = 0
                 hit = node[at] == want
                 q[todo[hit]] = p[at[hit]]
                 todo = todo[~hit]
-            q[todo] = 0.5
             out += np.log10(np.where((byte >> _U(7 - level)) & _U(1), q, 1 - q))
         return out
 
@@ -247,7 +261,7 @@ class Model:
         keys, begin = grams(data, offsets, self.depth)
         each = np.zeros(keys.size)
         mine = np.arange(keys.size) if self.last is None else np.flatnonzero(self.last[((keys >> _U(8)) & _U(255)).astype(np.int64)])
-        keys = keys if self.last is None else keys[mine]
+        keys = turn(keys if self.last is None else keys[mine], self.depth)
         order = np.argsort(keys)
         ordered = keys[order]
         new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if ordered.size else np.zeros(0, bool)
@@ -311,21 +325,23 @@ def _finished(pdf: pd.DataFrame, top: Top) -> pd.DataFrame:
     keys = pdf["key"].to_numpy().astype(_U)
     tree = Tree(keys, pdf["n"].to_numpy(), 2)
     mixed = tree.mixtures(*top.above(tree.node[2]))
-    parts = [(-1, keys, byte_cost(keys, tree.node[DEPTH], mixed[DEPTH])), *((d, tree.node[d], mixed[d]) for d in range(2, DEPTH + 1))]
-    last = int((keys[0] >> _U(8)) & _U(255))
-    return pd.DataFrame(
-        [(last, d, len(k), k.tobytes(), v.astype(np.float32).tobytes()) for d, k, v in parts], columns=["last", "d", "rows", "keys", "vals"]
-    )
+    parts = [(-1, turn(keys, DEPTH), byte_cost(keys, tree.node[DEPTH], mixed[DEPTH])), *((d, turn(tree.node[d], d), mixed[d]) for d in range(2, DEPTH + 1))]
+    end = int((keys[0] >> _U(8)) & _U(0xFFFF))
+    rows = []
+    for d, k, v in parts:
+        order = np.argsort(k)
+        rows.append((end, d, len(k), k[order].tobytes(), v[order].astype(np.float32).tobytes()))
+    return pd.DataFrame(rows, columns=["end", "d", "rows", "keys", "vals"])
 
 
 class Words:
-    """A block of word counts: hashes from ``lo`` to below ``hi`` of all training tokens."""
+    """A block of word counts: sorted hashes from ``lo`` to below ``hi`` of all training tokens, with small counts in
+    a byte and those of 255 and more apart."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, lo: int, hi: int | None, n: int, v: int):
-        self.keys, self.lo, self.hi, self.n, self.v = keys, lo, hi, n, v
-        self.small = np.minimum(counts, 255).astype(np.uint8)
-        big = counts >= 255
-        self.big_keys, self.big_counts = keys[big], counts[big]
+    def __init__(self, keys: np.ndarray, small: np.ndarray, big: dict[int, int], lo: int, hi: int | None, n: int, v: int):
+        self.keys, self.small, self.lo, self.hi, self.n, self.v = keys, small, lo, hi, n, v
+        self.big_keys = np.array(sorted(big), _U)
+        self.big_counts = np.array([big[k] for k in sorted(big)], np.int64)
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         """Counts of distinct hashes."""
@@ -357,34 +373,40 @@ class Words:
         return np.bincount(rows, minlength=n), np.bincount(rows, c > 0, minlength=n).astype(np.int64), np.bincount(rows, cost, minlength=n)
 
 
-def _packed(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Arrays of one block by depth, sorted."""
-    parts: dict[int, list] = {}
+def _packed(rows: DataFrame, sizes: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Arrays of one block by depth: each group's part is put where it belongs, in the order of groups."""
+    out, place = {}, {}
+    for d in {r.d for r in sizes}:
+        of = sorted((r.end, r.rows) for r in sizes if r.d == d)
+        edge = np.concatenate([[0], np.cumsum([n for _, n in of])]).tolist()
+        place |= {(e, d): i for (e, _), i in zip(of, edge, strict=False)}
+        out[d] = (np.empty(edge[-1], _U), np.empty(edge[-1], np.float32))
     for r in rows.toLocalIterator():
-        parts.setdefault(r.d, []).append((np.frombuffer(r["keys"], _U), np.frombuffer(r["vals"], np.float32)))
-    out = {}
-    for d in list(parts):
-        keys, values = (np.concatenate(x) for x in zip(*parts.pop(d), strict=True))
-        order = np.argsort(keys)
-        out[d] = (keys[order], values[order])
+        at = place[r.end, r.d]
+        out[r.d][0][at : at + r.rows] = np.frombuffer(r["keys"], _U)
+        out[r.d][1][at : at + r.rows] = np.frombuffer(r["vals"], np.float32)
     return out
 
 
-def _tree_blocks(model: DataFrame, top: Top, limit: int) -> list[np.ndarray]:
+def _tree_blocks(sizes: list, limit: int) -> list[np.ndarray]:
     """Which last bytes go into each block."""
-    sizes = {r["last"]: r["rows"] for r in model.groupBy("last").agg(F.sum("rows").alias("rows")).collect()}  # at most 256
+    by_last = np.zeros(256, np.int64)
+    for r in sizes:
+        by_last[r.end & 255] += r.rows
     blocks, size = [np.zeros(256, bool)], 0
-    for last in range(256):
-        n = sizes.get(last, 0)
-        if size and size + n > limit:
+    for last in np.flatnonzero(by_last).tolist():
+        if size and size + by_last[last] > limit:
             blocks.append(np.zeros(256, bool))
             size = 0
         blocks[-1][last] = True
-        size += n
+        size += by_last[last]
+    if len(blocks) == 1:
+        return blocks
+    blocks[0][by_last == 0] = True  # contexts that nobody saw cost the same anywhere, once
     return blocks
 
 
-def _word_ranges(words: DataFrame, v: int, limit: int) -> list[tuple[int, int | None]]:
+def _word_ranges(v: int, limit: int) -> list[tuple[int, int | None]]:
     """Ranges of unsigned hashes, about ``limit`` words each, as hashes are uniform."""
     n = max(1, -(-v // limit))
     edges = [(i << 64) // n for i in range(n)]
@@ -422,26 +444,29 @@ def scored(docs: DataFrame, limit: int = BLOCK_ROWS) -> DataFrame:
     ones = by_end.groupBy("end").applyInPandas(_below, "node long, zeros long, ones long, log_children double")
     ones = ones.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "log_children")))
     top = Top(ones.toPandas())  # at most 65,280 rows
-    model = scratch.save(by_end.groupBy("end").applyInPandas(lambda pdf: _finished(pdf, top), "last int, d int, rows long, keys binary, vals binary"))
+    model = scratch.save(by_end.groupBy("end").applyInPandas(lambda pdf: _finished(pdf, top), "end int, d int, rows long, keys binary, vals binary"))
 
     n_train, v = words.agg(F.sum("n"), F.count("*")).first()
     n_train = n_train or 0
-    trees, ranges = _tree_blocks(model, top, limit), _word_ranges(words, v, limit)
+    sizes = model.select("end", "d", "rows").collect()  # at most 65,536 groups of DEPTH rows
+    trees, ranges = _tree_blocks(sizes, limit), _word_ranges(v, limit)
     passes = max(len(trees), len(ranges))
     numbered = docs.select(F.monotonically_increasing_id().alias("k"), "text") if passes > 1 else None
     parts = []
     for i in range(passes):
         tree = word = None
         if i < len(trees):
-            got = _packed(model.filter(F.col("last").isin([int(x) for x in np.flatnonzero(trees[i])])))
+            mine = set(np.flatnonzero(trees[i]).tolist())
+            rows = model if len(trees) == 1 else model.filter(F.col("end").bitwiseAND(F.lit(255)).isin(sorted(mine)))
+            got = _packed(rows, [r for r in sizes if r.end & 255 in mine or len(trees) == 1])
+            del rows
             none = (np.zeros(0, _U), np.zeros(0, np.float32))
             levels = [(top.node0, top.p0), (top.node1, top.p1), *(got.get(d, none) for d in range(2, DEPTH + 1))]
             tree = Model(*got.get(-1, none), levels, DEPTH, trees[i] if len(trees) > 1 else None)
         if i < len(ranges):
-            keys, counts = _packed_range(_in_range(words, *ranges[i]))
-            word = Words(keys, counts, *ranges[i], n_train, v)
+            word = Words(*_packed_range(_in_range(words, *ranges[i])), *ranges[i], n_train, v)
         shared = spark.sparkContext.broadcast((tree, word))
-        del tree, word
+        tree = word = got = None
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             tree, word = shared.value
@@ -471,14 +496,17 @@ def scored(docs: DataFrame, limit: int = BLOCK_ROWS) -> DataFrame:
     return out.select("doc_id", (~training(F.col("doc_id"))).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _packed_range(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+def _packed_range(words: DataFrame) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
+    keys, small, big = [np.zeros(0, _U)], [np.zeros(0, np.uint8)], {}
     for r in words.mapInArrow(_packed_words, "d int, keys binary, vals binary").toLocalIterator():
-        keys.append(np.frombuffer(r["keys"], _U))
-        counts.append(np.frombuffer(r["vals"], np.int64))
-    k, n = np.concatenate(keys), np.concatenate(counts)
+        k, n = np.frombuffer(r["keys"], _U), np.frombuffer(r["vals"], np.int64)
+        keys.append(k)
+        small.append(np.minimum(n, 255).astype(np.uint8))
+        big |= dict(zip(k[n >= 255].tolist(), n[n >= 255].tolist(), strict=True))
+    k = np.concatenate(keys)
+    del keys
     order = np.argsort(k)
-    return k[order], n[order]
+    return k[order], np.concatenate(small)[order], big
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
