@@ -41,10 +41,10 @@ from .textkit import LOWER, runs, word_hashes
 DEPTH = 5
 END = 0xFF
 #: Rows of one block of the model.
-BLOCK_ROWS = 12_000_000
+BLOCK_ROWS = 10_000_000
 #: Distinct strings that a task holds before it passes them on.
-HELD = 2_000_000
-SCAN_BYTES = 1 << 22
+HELD = 1_000_000
+SCAN_BYTES = 1 << 20
 WORD_END = np.uint64(0x656E645F6F665F74)  # stands for the end token among word hashes
 
 _U = np.uint64
@@ -466,7 +466,7 @@ def scored(docs: DataFrame, limit: int = BLOCK_ROWS) -> DataFrame:
         if i < len(ranges):
             word = Words(*_packed_range(_in_range(words, *ranges[i])), *ranges[i], n_train, v)
         shared = spark.sparkContext.broadcast((tree, word))
-        tree = word = got = None
+        tree = word = got = levels = None
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             tree, word = shared.value
