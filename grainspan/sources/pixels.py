@@ -5,7 +5,10 @@ A pixel table is dense: every position of a height * width rectangle has one row
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,21 +106,20 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     """Records of whole images from files that Spark's image source decodes; channels in the order red, green, blue."""
     raw = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
     name = F.element_at(F.split("origin", "/"), -1)
-    rgb = F.when(F.col("nChannels") >= 3, swap_first_and_third(F.col("data"), F.col("nChannels"))).otherwise(F.col("data"))
-    return raw.select(name.alias("image_id"), F.lit(0).alias("r0"), "height", "width", F.col("nChannels").alias("channels"), rgb.alias("data"))
+    records = raw.select(name.alias("image_id"), F.lit(0).alias("r0"), "height", "width", F.col("nChannels").alias("channels"), "data")
+    return records.mapInArrow(_red_first, "image_id string, r0 int, height int, width int, channels int, data binary")
 
 
-@F.pandas_udf("binary")
-def swap_first_and_third(data, channels):
+def _red_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The source gives blue, green, red."""
-    import pandas as pd
-
-    out = []
-    for d, k in zip(data, channels, strict=True):
-        a = np.frombuffer(d, np.uint8).reshape(-1, k).copy()
-        a[:, [0, 2]] = a[:, [2, 0]]
-        out.append(a.tobytes())
-    return pd.Series(out)
+    for batch in batches:
+        out = []
+        for k, data in zip(batch.column(4).to_pylist(), batch.column(5), strict=True):
+            a = np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, k).copy()
+            if k >= 3:
+                a[:, [0, 2]] = a[:, [2, 0]]
+            out.append(a.tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, pa.binary())], batch.schema.names)
 
 
 def write_sample_image(spark: SparkSession, path: str, height: int, width: int, channels: int = 1) -> str:
