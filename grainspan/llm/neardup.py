@@ -117,10 +117,10 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "neardup")
+    scratch = scratch or Scratch(spark, "neardup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = scratch.save(docs.mapInArrow(_sign, "doc_id long, n_shingles long, fp binary, sig array<long>"))
 
@@ -261,12 +261,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     A row that repeats a kept doc_id is a copy of it, so one such row stays.
     """
-    found = near_duplicates(docs)
-    ids = found.filter("kept").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    ids = Scratch(docs.sparkSession, "kept").save(ids)
+    spark = docs.sparkSession
+    scratch, kept = Scratch(spark, "neardup"), Scratch(spark, "kept")
+    ids = kept.save(near_duplicates(docs, scratch).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")))
+    scratch.clear()
     known, unknown = docs.filter("doc_id is not null"), docs.filter("doc_id is null")
-    out = known.join(ids.select("doc_id"), "doc_id", "left_semi")
-    if not ids.filter("doc_id is not null and rows > 1").isEmpty():
+    wanted = ids.select("doc_id")
+    if ids.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    out = known.join(wanted, "doc_id", "left_semi")
+    if not ids.filter("rows > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(unknown).select(docs.columns)
 

@@ -24,6 +24,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_roots: dict[int, list] = {}
+
+
+def made_so_far(spark: SparkSession) -> list:
+    """All scratch folders of the session, in the order in which they were made."""
+    return list(_roots.get(id(spark.sparkContext), []))
+
+
 class Scratch:
     """Tables of one run of an operator, written as Parquet to the shared folder.
 
@@ -35,6 +43,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        _roots.setdefault(id(spark.sparkContext), []).append(self)
         atexit.register(self._quiet_drop, self.root)
 
     def save(self, df: DataFrame) -> DataFrame:
@@ -45,6 +54,10 @@ class Scratch:
         out.scratch_path = path
         return out
 
+    def clear(self) -> None:
+        """Removes all tables; for results that are written elsewhere."""
+        self._drop(self.root)
+
     def drop(self, df: DataFrame) -> None:
         self._drop(df.scratch_path)
 
