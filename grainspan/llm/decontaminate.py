@@ -67,7 +67,7 @@ def find(text: str, machine) -> tuple[int, np.ndarray, set]:
         return 0, np.zeros(0, np.int64), set()
     line = f" {b' '.join(words).decode('latin-1')} "
     ends, sizes, items = [], [], set()
-    for end, (size, ids) in machine.iter(line):
+    for end, (size, ids) in machine.iter(line) if len(machine) else ():
         ends.append(end)
         sizes.append(size)
         items |= ids

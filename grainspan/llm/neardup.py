@@ -126,7 +126,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
 
     # One row for each class; the signature of any member is that of all.
     classes = scratch.save(
-        signed.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.any_value("sig").alias("sig"))
+        signed.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.any_value("sig").alias("sig"))
     )
     reps = classes.filter("rep is not null")
     posted = reps.select("rep", F.explode("sig").alias("key"))
@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
                 linked = connected(links.select("x", "y").unionByName(more).select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
 
     # Classes that are alone need no answer but their own.
-    joined = classes.join(linked, classes.rep == linked.node, "left").filter("component is not null or rep < last").select("fp", F.coalesce("component", "rep").alias("component"))
+    joined = classes.join(linked, classes.rep == linked.node, "left").filter("component is not null or rows > 1").select("fp", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "fp").join(joined, "fp", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
