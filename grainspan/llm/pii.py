@@ -107,9 +107,9 @@ def candidates(docs: DataFrame, patterns: DataFrame) -> tuple[DataFrame, DataFra
     Tokens are cut at single white space characters, so a token's start follows from the lengths before it.
     """
     tokens = docs.select(F.monotonically_increasing_id().alias("row"), F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", -1).alias("t"))
-    lefts = F.broadcast(patterns.select("words").distinct())  # at most PATTERNS
+    lefts = [r.words for r in patterns.select("words").distinct().collect()]  # at most PATTERNS
     pairs = tokens.select(F.explode(F.expr("transform(sequence(2, greatest(size(t), 2)), i -> lower(concat(get(t, i - 2), ' ', get(t, i - 1))))")).alias("words"))
-    totals = pairs.join(lefts, "words").groupBy("words").agg(F.count("*").alias("total"))
+    totals = pairs.filter(F.col("words").isin(lefts)).groupBy("words").agg(F.count("*").alias("total"))
     found = (
         tokens.filter(F.exists("t", lambda x: x.rlike("[0-9@]")))
         .select("row", "t", F.explode(F.expr("filter(sequence(3, greatest(size(t), 3)), i -> get(t, i - 1) rlike '[0-9@]')")).alias("i"))
