@@ -8,7 +8,7 @@
 
        sum over domains k of (sum over d of r_d * share_d * p_dk  -  budget * target_k) ** 2
 
-   from r = 1, with momentum, in the metric of token shares. Rates in a step follow from the document's
+   from r = 1, with momentum, in the metric of token shares; rates also stay at or below ``MOST`` where that is set. Rates in a step follow from the document's
    posterior and the residuals of the steps before, so a step is one pass over the small table of tokens and posteriors
    that adds up one number a domain, and what the driver keeps is steps * domains numbers. The budget defaults to
    the most that needs no domain upsampled.
@@ -44,6 +44,8 @@ PREFIXES = (4, 5)
 PENALTY = 0.3
 #: Deviations from chance that make a bucket worth keeping.
 SURE = 3.5
+#: Rates are kept from 0 to this, so that no document is repeated; None sets no bound.
+MOST: float | None = 1.0
 STEPS = 40
 CLOSE = 1e-4
 SNAP = 0.05
@@ -95,7 +97,7 @@ def fit(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, domains: int
     size = 1 << BUCKET_BITS
     n = len(labels)
     shares = np.bincount(labels, minlength=domains) / n if n else np.full(domains, 1 / domains)
-    if (shares > 0).sum() < 2:
+    if not n or (shares > 0).sum() < 2:
         return Classifier(np.zeros((size, domains)), np.log(np.maximum(shares, 1e-12)))
     # A bucket is kept if some domain has it far more or less often than chance would let all rows share it.
     seen = np.stack([np.bincount(buckets[labels[rows] == k], minlength=size) for k in range(domains)], 1)
@@ -145,19 +147,19 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", domains: in
     return fit(rows, np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int64), np.array(domain, np.int64), domains)
 
 
-def rates(p: np.ndarray, residuals: list[np.ndarray], step: float) -> tuple[np.ndarray, np.ndarray]:
+def rates(p: np.ndarray, residuals: list[np.ndarray], step: float, most: float | None = MOST) -> tuple[np.ndarray, np.ndarray]:
     """Rates after the steps so far, and the point where the next residual is to be taken."""
     r = y = np.ones(len(p))
     t = 1.0
     for e in residuals:
-        new = np.maximum(0.0, y - step * (p @ e))
+        new = np.clip(y - step * (p @ e), 0.0, most)
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        y = np.maximum(0.0, new + (t - 1) / t_new * (new - r))
+        y = np.clip(new + (t - 1) / t_new * (new - r), 0.0, most)
         r, t = new, t_new
     return r, y
 
 
-def solve(weighted: DataFrame, targets: tuple[float, ...], budget: float | None = None) -> tuple[list[np.ndarray], float]:
+def solve(weighted: DataFrame, targets: tuple[float, ...], budget: float | None = None, most: float | None = MOST) -> tuple[list[np.ndarray], float]:
     """Residuals of the steps, and the step size, for ``weighted`` (tokens, p), a table that is read once a step."""
     k = len(targets)
     want = np.array(targets, np.float64)
@@ -169,7 +171,7 @@ def solve(weighted: DataFrame, targets: tuple[float, ...], budget: float | None
             for batch in batches:
                 tokens = batch.column(0).to_numpy().astype(np.float64)
                 p = batch.column(1).flatten().to_numpy().reshape(-1, k)
-                _, y = rates(p, residuals, step)
+                _, y = rates(p, residuals, step, most)
                 total[:k] += (tokens * y) @ p
                 total[k] += tokens.sum()
                 total[k + 1 :] += ((tokens[:, None] * p).T @ p).ravel()
@@ -212,11 +214,14 @@ def hash_id(x: int | None) -> int:
 class Mix:
     """A classifier and the rates it leads to."""
 
-    def __init__(self, classifier: Classifier, residuals: list[np.ndarray], step: float):
-        self.classifier, self.residuals, self.step = classifier, residuals, step
+    def __init__(self, classifier: Classifier, residuals: list[np.ndarray], step: float, most: float | None):
+        self.classifier, self.residuals, self.step, self.most = classifier, residuals, step, most
 
+    def rates(self, p: np.ndarray) -> np.ndarray:
+        return rates(p, self.residuals, self.step, self.most)[0]
 
-def plan(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, budget: float | None = None) -> tuple[Mix, DataFrame]:
+
+def plan(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, budget: float | None = None, most: float | None = MOST) -> tuple[Mix, DataFrame]:
     """The mix for ``docs``, and doc_id, tokens and p of each row."""
     classifier = learn(docs, labels, domains=len(targets))
 
@@ -231,25 +236,25 @@ def plan(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGET
 
     soft = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, tokens long, p array<double>")
     soft = Scratch(docs.sparkSession, "mixing").save(soft)
-    return Mix(classifier, *solve(soft, targets, budget)), soft
+    return Mix(classifier, *solve(soft, targets, budget, most), most), soft
 
 
-def rated(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, budget: float | None = None) -> DataFrame:
+def rated(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, budget: float | None = None, most: float | None = MOST) -> DataFrame:
     """doc_id, n_tokens, p (by domain), rate and copies of each row of ``docs``."""
-    made, soft = plan(docs, labels, targets, budget)
-    residuals, step, k = made.residuals, made.step, len(targets)
+    made, soft = plan(docs, labels, targets, budget, most)
+    k = len(targets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            r, _ = rates(batch.column(2).flatten().to_numpy().reshape(-1, k), residuals, step)
+            r = made.rates(batch.column(2).flatten().to_numpy().reshape(-1, k))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r), pa.array(copies(batch.column(0), r))], ["doc_id", "n_tokens", "p", "rate", "copies"])
 
     return soft.mapInArrow(run, "doc_id long, n_tokens long, p array<double>, rate double, copies long")
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, budget: float | None = None) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, budget: float | None = None, most: float | None = MOST) -> DataFrame:
     """Each document as often as its rate says, all columns as they were. Texts stay where they are."""
-    made, _ = plan(docs, labels, targets, budget)
+    made, _ = plan(docs, labels, targets, budget, most)
     text, doc_id = docs.columns.index("text"), docs.columns.index("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +262,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGE
             times = []
             for a, b, data, offsets in runs(batch.column(text)):
                 _, p = made.classifier.posteriors(data, offsets)
-                times.append(copies(batch.column(doc_id).slice(a, b - a), rates(p, made.residuals, made.step)[0]))
+                times.append(copies(batch.column(doc_id).slice(a, b - a), made.rates(p)))
             if times:
                 yield batch.take(pa.array(np.repeat(np.arange(batch.num_rows), np.concatenate(times))))
 
