@@ -124,7 +124,9 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def index(rows: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, np.ndarray | None]:
     """The index (vec_id, embedding, codes, norm) of all rows of ``usable`` vectors, and the codebooks."""
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toPandas()
+    ids = rows.select("vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
+    ids = F.broadcast(Scratch(rows.sparkSession, "sample").save(ids.distinct()))  # at most ``sample`` ids
+    some = rows.join(ids, "vec_id", "left_semi").limit(sample).select("embedding").toPandas()
     kind = rows.schema["embedding"].dataType.simpleString()
     if not len(some):
         return rows.select("vec_id", "embedding", F.lit(b"").alias("codes"), F.lit(1.0).alias("norm")), None

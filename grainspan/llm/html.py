@@ -250,7 +250,10 @@ def main_text(html: str | None, weights: np.ndarray) -> str:
 
 def extracted(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """page_id, url, text and n_chars of each row of ``pages`` (page_id, url, html)."""
-    some = pages.filter(F.length("html") <= SAMPLE_CHARS).orderBy(F.xxhash64("page_id"), "page_id").limit(sample).select("html").collect()
+    # Ids are chosen first, so that only the sample's own pages come to the driver and not each task's best.
+    fit = pages.filter(F.col("page_id").isNotNull() & (F.length("html") <= SAMPLE_CHARS))
+    ids = [r.page_id for r in fit.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()]
+    some = fit.filter(F.col("page_id").isin(ids)).limit(sample).select("html").collect() if ids else []
     weights = learn([r.html for r in some])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
