@@ -8,7 +8,10 @@
 
        sum over domains k of (sum over d of r_d * share_d * p_dk  -  budget * target_k) ** 2
 
-   from r = 1, with momentum, in the metric of token shares; rates also stay at or below ``MOST`` where that is set. Rates in a step follow from the document's
+   from r = 1, with momentum, in the metric of token shares; rates also stay at or below ``MOST`` where that is set. A document's step is
+   divided by the sum over domains of p_dk * (share of k in all tokens), which bounds the curvature, so the rates of a rare domain
+   move as fast as those of a frequent one. Steps end when every residual, or its change in ``STILL`` steps in a row, is below
+   ``CLOSE`` of its own domain's share. Rates in a step follow from the document's
    posterior and the residuals of the steps before, so a step is one pass over the small table of tokens and posteriors
    that adds up one number a domain, and what the driver keeps is steps * domains numbers. The budget defaults to
    the most that needs no domain upsampled.
@@ -23,6 +26,7 @@ an empty result; further columns are passed by (``mixed`` keeps them).
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,8 +50,11 @@ PENALTY = 0.3
 SURE = 3.5
 #: Rates are kept from 0 to this, so that no document is repeated; None sets no bound.
 MOST: float | None = 1.0
-STEPS = 40
+#: A guard against endless runs, with a warning; steps end by ``CLOSE``.
+STEPS = 1000
 CLOSE = 1e-4
+STILL = 3
+KEPT = 25
 SNAP = 0.05
 
 
@@ -147,55 +154,95 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", domains: in
     return fit(rows, np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int64), np.array(domain, np.int64), domains)
 
 
-def rates(p: np.ndarray, residuals: list[np.ndarray], step: float, most: float | None = MOST) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after the steps so far, and the point where the next residual is to be taken."""
-    r = y = np.ones(len(p))
-    t = 1.0
-    for e in residuals:
-        new = np.clip(y - step * (p @ e), 0.0, most)
+State = tuple[np.ndarray, np.ndarray, float, float]
+
+
+def advance(p: np.ndarray, residuals: list[np.ndarray], step: float, most: float | None, state: State | None = None) -> State:
+    """Rates, the point of the next residual, momentum and last error after ``residuals``, from ``state`` or from r = 1.
+
+    A residual is (2, domains): the error of each domain, and the share of tokens that the domain has at r = 1.
+    """
+    r, y, t, last = state or (np.ones(len(p)), np.ones(len(p)), 1.0, np.inf)
+    for e, share in residuals:
+        scale = p @ share
+        new = np.clip(y - step * np.divide(p @ e, scale, out=np.zeros(len(p)), where=scale > 0), 0.0, most)
+        if e @ e > last:
+            t = 1.0  # the momentum overshot
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = np.clip(new + (t - 1) / t_new * (new - r), 0.0, most)
-        r, t = new, t_new
-    return r, y
+        r, t, last = new, t_new, float(e @ e)
+    return r, y, t, last
+
+
+def rates(p: np.ndarray, residuals: list[np.ndarray], step: float, most: float | None = MOST) -> tuple[np.ndarray, np.ndarray]:
+    """Rates after the steps so far, and the point where the next residual is to be taken."""
+    return advance(p, residuals, step, most)[:2]
 
 
 def solve(weighted: DataFrame, targets: tuple[float, ...], budget: float | None = None, most: float | None = MOST) -> tuple[list[np.ndarray], float]:
-    """Residuals of the steps, and the step size, for ``weighted`` (tokens, p), a table that is read once a step."""
+    """Residuals of the steps, and the step size, for ``weighted`` (tokens, p), a table that is read once a step.
+
+    Every ``KEPT`` steps r and y are written down, so that a step repeats at most that many.
+    """
     k = len(targets)
     want = np.array(targets, np.float64)
     want = want / want.sum()
+    scratch = Scratch(weighted.sparkSession, "rates")
+    step = 1.0
+    residuals: list[np.ndarray] = []
+    rows = weighted.select("tokens", "p", F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+    kept, t, last = 0, 1.0, np.inf
+
+    def states(batch: pa.RecordBatch) -> tuple[np.ndarray, State]:
+        p = batch.column(1).flatten().to_numpy().reshape(-1, k)
+        return p, advance(p, residuals[kept:], step, most, (batch.column(2).to_numpy(), batch.column(3).to_numpy(), t, last))
 
-    def sums(residuals: list[np.ndarray], step: float):
+    def sums() -> tuple[np.ndarray, float]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(k + 1 + k * k)
+            total = np.zeros(k + 1)
             for batch in batches:
                 tokens = batch.column(0).to_numpy().astype(np.float64)
-                p = batch.column(1).flatten().to_numpy().reshape(-1, k)
-                _, y = rates(p, residuals, step, most)
-                total[:k] += (tokens * y) @ p
+                p, state = states(batch)
+                total[:k] += (tokens * state[1]) @ p
                 total[k] += tokens.sum()
-                total[k + 1 :] += ((tokens[:, None] * p).T @ p).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total)], ["i", "v"])
 
-        got = weighted.select("tokens", "p").mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-        out = np.zeros(k + 1 + k * k)
+        got = rows.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+        out = np.zeros(k + 1)
         for r in got:
             out[r.i] = r.v
-        return out[:k], out[k], out[k + 1 :].reshape(k, k)
+        return out[:k], out[k]
 
-    now, total, gram = sums([], 1.0)
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, state = states(batch)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(state[0]), pa.array(state[1])], ["tokens", "p", "r", "y"])
+
+    now, total = sums()
     if not total:
-        return [], 1.0
+        return [], step
+    share = now / total
     if budget is None:
-        budget = float(min(now[want > 0] / want[want > 0])) / total
-    step = 1 / max(np.linalg.eigvalsh(gram / total).max(), 1e-12)
-    residuals: list[np.ndarray] = []
-    for _ in range(STEPS):
+        budget = float(min(share[want > 0] / want[want > 0]))
+    seen, still = None, 0
+    while len(residuals) < STEPS:
         e = now / total - budget * want
-        if residuals and np.abs(e - residuals[-1]).max() < CLOSE * 1e-2 or np.abs(e).max() < CLOSE:
+        part = np.divide(e, share, out=np.zeros(k), where=share > 0)
+        still = still + 1 if seen is not None and np.abs(part - seen).max() < CLOSE else 0
+        if still == STILL or np.abs(part).max() < CLOSE:
             break
-        residuals.append(e)
-        now, _, _ = sums(residuals, step)
+        seen = part
+        residuals.append(np.stack([e, share]))
+        if len(residuals) - kept == KEPT:
+            fresh = scratch.save(rows.mapInArrow(write, "tokens long, p array<double>, r double, y double"))
+            _, _, t, last = advance(np.zeros((0, k)), residuals[kept:], step, most, (np.zeros(0), np.zeros(0), t, last))
+            if kept:
+                scratch.drop(rows)
+            rows, kept = fresh, len(residuals)
+        now, _ = sums()
+    else:
+        warnings.warn(f"op4: rates still changed after {STEPS} steps", stacklevel=2)
+    scratch.clear()
     return residuals, step
 
 

@@ -60,6 +60,29 @@ def test_rates_stay_below_a_bound(spark):
     assert r.max() <= 1 and r.min() >= 0 and r[p[:, 0] > 0.9].min() > 0.9
 
 
+@pytest.mark.parametrize("sure", [1.0, 0.97])
+@pytest.mark.parametrize("rare", [20, 5, 1])
+def test_rare_domain_meets_its_target(spark, rare, sure):
+    # `rare` of 10,000 documents, all of one size, are toxic: 0.2 % of tokens down to 0.01 %
+    toxic = np.arange(10000) < rare
+    q = np.where(toxic, sure, 1 - sure if sure == 1 else 1e-5)
+    p = np.stack([1 - q, q], 1)
+    frame = spark.createDataFrame([(10, x.tolist()) for x in p], "tokens long, p array<double>")
+    r, _ = mixing.rates(p, *mixing.solve(frame, (1.0, 0.0)))
+    assert r[toxic].max() < mixing.SNAP and r[~toxic].min() > 1 - mixing.SNAP
+
+
+def test_written_rates_go_on_as_repeated_ones(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([0.15] * 3, 300)
+    frame = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(rng.integers(0, 400, 300), p, strict=True)], "tokens long, p array<double>")
+    whole, step = mixing.solve(frame, (0.2, 0.2, 0.6), budget=0.4, most=None)
+    monkeypatch.setattr(mixing, "KEPT", 2)
+    parts, _ = mixing.solve(frame, (0.2, 0.2, 0.6), budget=0.4, most=None)
+    assert len(whole) == len(parts) > 4
+    np.testing.assert_allclose(np.array(parts), np.array(whole), atol=1e-9)
+
+
 def test_copies_keep_expected_totals():
     import pyarrow as pa
 
