@@ -2,8 +2,8 @@
 
 1. Seeds: emails, ip addresses, card and phone numbers that four expressions find and checks confirm. An expression's
    matches and the gaps between them (its split) give code point offsets by a running sum for each text.
-2. A pattern is a kind and the two words before a seed. Patterns before at least ``SUPPORT`` different seeds are kept,
-   in each run the ``PATTERNS`` with most seeds, which bounds what is broadcast.
+2. A pattern is a kind and the two words before a seed. All patterns before at least ``SUPPORT`` different seeds are kept.
+   Up to ``FEW`` of them are broadcast; more are joined by shuffles, salted, with the same result.
 3. One scan of all texts counts every occurrence of the patterns' words, whatever follows, and takes the
    tokens that follow and have the loose shape of the kind (an @ among others, enough digits ...).
 4. Patterns and instances form a graph that is scored ``ROUNDS`` times: a pattern by the mean score of what follows it,
@@ -39,7 +39,10 @@ HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Looser shapes that a kind's patterns may discover.
 SHAPES = {"email": r"^[^@]+@[^@]+$", "ip": r"^[0-9A-Fa-f]{1,4}([.:][0-9A-Fa-f]{0,4}){2,}$", "card": r"^[0-9][0-9Xx*-]{11,}$", "phone": r"^[+(]?[0-9][0-9().-]{5,}$"}
 SUPPORT = 3
-PATTERNS = 4096
+#: Patterns up to this number are broadcast, and their words are a list in a filter.
+FEW = 4096
+#: Parts that the rows of one pattern are dealt over in a join without broadcast.
+SALTS = 16
 ROUNDS = 3
 CONFIDENT = 0.5
 #: Characters before a seed in which its two words are looked for.
@@ -101,21 +104,35 @@ def base_spans(parts: DataFrame) -> DataFrame:
     return each.filter(valid(F.col("kind"), F.col("value")))
 
 
-def candidates(docs: DataFrame, patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
+def with_patterns(left: DataFrame, patterns: DataFrame, few: bool, spread: list[str]) -> DataFrame:
+    """Inner join on words and kind; without a broadcast, the rows of a pattern are dealt over by the columns ``spread``."""
+    if few:
+        return left.join(F.broadcast(patterns), ["words", "kind"])
+    salted = patterns.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return left.withColumn("salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS))).join(salted.hint("shuffle_merge"), ["words", "kind", "salt"]).drop("salt")
+
+
+def candidates(docs: DataFrame, patterns: DataFrame, few: bool = True) -> tuple[DataFrame, DataFrame]:
     """Occurrences of each pattern's words in all texts, and the tokens after them that have a kind's shape.
 
     Tokens are cut at single white space characters, so a token's start follows from the lengths before it.
     """
     tokens = docs.select(F.monotonically_increasing_id().alias("row"), F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", -1).alias("t"))
-    lefts = [r.words for r in patterns.select("words").distinct().collect()]  # at most PATTERNS
     pairs = tokens.select(F.explode(F.expr("transform(sequence(2, greatest(size(t), 2)), i -> lower(concat(get(t, i - 2), ' ', get(t, i - 1))))")).alias("words"))
-    totals = pairs.filter(F.col("words").isin(lefts)).groupBy("words").agg(F.count("*").alias("total"))
+    if few:
+        lefts = [r.words for r in patterns.select("words").distinct().collect()]  # at most FEW
+        totals = pairs.filter(F.col("words").isin(lefts)).groupBy("words").agg(F.count("*").alias("total"))
+    else:
+        totals = pairs.filter("words is not null").groupBy("words").agg(F.count("*").alias("total")).join(patterns.select("words").distinct().hint("shuffle_merge"), "words")
     found = (
         tokens.filter(F.exists("t", lambda x: x.rlike("[0-9@]")))
         .select("row", "t", F.explode(F.expr("filter(sequence(3, greatest(size(t), 3)), i -> get(t, i - 1) rlike '[0-9@]')")).alias("i"))
         .select("row", F.expr("lower(concat(get(t, i - 3), ' ', get(t, i - 2)))").alias("words"), F.expr("get(t, i - 1)").alias("token"), "t", "i")
-        .join(F.broadcast(patterns.select("words", "kind")), "words")
     )
+    if few:
+        found = found.join(F.broadcast(patterns.select("words", "kind")), "words")
+    else:
+        found = found.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in KINDS])))
     shape = F.when(F.lit(False), F.lit(False))
     core = F.regexp_replace("token", r"^[\"'<\[(]+|[\"'>\]),.;:!?]+$", "")
     lead = F.char_length(F.regexp_extract("token", r"^[\"'<\[(]*", 0))
@@ -124,14 +141,16 @@ def candidates(docs: DataFrame, patterns: DataFrame) -> tuple[DataFrame, DataFra
     found = found.withColumns({"core": core, "before": F.expr("char_length(array_join(slice(t, 1, i - 1), ' ')) + 1"), "lead": lead}).filter(shape)
     start = (F.col("before") + F.col("lead")).cast("long")
     found = found.select("row", "words", "kind", F.col("core").alias("value"), start.alias("start"), (start + F.char_length("core")).alias("end"))
+    if not few:
+        found = with_patterns(found, patterns.select("words", "kind"), few, ["row", "start"])
     return totals, found
 
 
-def score(patterns: DataFrame, seeds: DataFrame, found: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
+def score(patterns: DataFrame, seeds: DataFrame, found: DataFrame, scratch: Scratch, rounds: int = ROUNDS, few: bool = True) -> DataFrame:
     """words, kind and score of the patterns. ``patterns`` has totals; ``seeds`` and ``found`` have values after patterns."""
     known = seeds.select("kind", "value").distinct().withColumn("seed", F.lit(True))
     after = found.join(seeds.select("row", "kind", "start"), ["row", "kind", "start"], "left_anti").select("words", "kind", "value")
-    after = after.unionByName(seeds.select("words", "kind", "value").join(F.broadcast(patterns.select("words", "kind")), ["words", "kind"]))
+    after = after.unionByName(with_patterns(seeds.select("row", "start", "words", "kind", "value"), patterns.select("words", "kind"), few, ["row", "start"]).select("words", "kind", "value"))
     edges = after.groupBy("words", "kind", "value").agg(F.count("*").alias("n")).join(known, ["kind", "value"], "left")
     edges = scratch.save(edges.select("words", "kind", "value", "n", F.coalesce("seed", F.lit(False)).alias("seed")))
     scores = None
@@ -140,7 +159,7 @@ def score(patterns: DataFrame, seeds: DataFrame, found: DataFrame, scratch: Scra
             weighed = edges.withColumn("s", F.when(F.col("seed"), 1.0).otherwise(0.0))
         else:
             doubt = F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9))))
-            instance = edges.join(F.broadcast(scores), ["words", "kind"]).groupBy("kind", "value").agg((1 - F.exp(doubt)).alias("i"))
+            instance = with_patterns(edges, scores, few, ["value"]).groupBy("kind", "value").agg((1 - F.exp(doubt)).alias("i"))
             weighed = edges.join(instance, ["kind", "value"]).withColumn("s", F.when(F.col("seed"), 1.0).otherwise(F.col("i")))
         new = weighed.groupBy("words", "kind").agg(F.sum(F.col("s") * F.col("n")).alias("good"))
         scores = scratch.save(new.join(patterns, ["words", "kind"]).select("words", "kind", F.least(F.col("good") / F.greatest("total", "good"), F.lit(1.0)).alias("score")))
@@ -154,15 +173,17 @@ def personal_spans(docs: DataFrame) -> DataFrame:
     parts = scratch.save(matches(docs))
     seeds = scratch.save(base_spans(parts).withColumn("words", words_before(F.col("left"))).drop("left"))
     induced = seeds.filter("words <> ''").groupBy("words", "kind").agg(F.countDistinct("value").alias("support")).filter(F.col("support") >= SUPPORT)
-    induced = scratch.save(induced.orderBy(F.desc("support"), "words", "kind").limit(PATTERNS))
+    induced = scratch.save(induced)
     spans = seeds.select("row", "kind", "start", "end", "value", F.lit(False).alias("added"))
-    if not induced.isEmpty():
-        totals, found = candidates(docs, induced)
+    n = induced.count()
+    few = n <= FEW
+    if n:
+        totals, found = candidates(docs, induced, few)
         found = scratch.save(found)
         patterns = scratch.save(induced.join(totals, "words"))
-        scores = score(patterns, seeds, found, scratch)
+        scores = score(patterns, seeds, found, scratch, few=few)
         sure = scores.filter(F.col("score") >= CONFIDENT)
-        new = found.join(F.broadcast(sure), ["words", "kind"]).groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.first("value").alias("value"))
+        new = with_patterns(found, sure, few, ["row", "start"]).groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.first("value").alias("value"))
         one, two = new.alias("one"), seeds.alias("two")
         new = one.join(two, (F.col("one.row") == F.col("two.row")) & (F.col("one.start") < F.col("two.end")) & (F.col("two.start") < F.col("one.end")), "left_anti")
         spans = spans.unionByName(new.select("row", "kind", "start", "end", "value", F.lit(True).alias("added")))

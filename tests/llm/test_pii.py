@@ -67,5 +67,24 @@ def test_patterns_discover(spark, tmp_path):
     assert all(got[i].n_phone == 1 for i in range(12))
 
 
+def test_all_patterns_are_used(spark, tmp_path):
+    # 4,200 patterns with four seeds each, which discover nothing, and one with three that does
+    noise = [" ".join(f"a{p} b{p} x{p}.{i}@c.de and" for p in range(b, b + 100)) + " " + " ".join(f"a{p} b{p} c" for p in range(b, b + 100) for _ in range(3)) for b in range(0, 4200, 100) for i in range(4)]
+    rows = list(enumerate(noise)) + [(1000 + i, f"zz number: +1 (555) 555-{1000 + i}") for i in range(3)] + [(2000, "then zz number: 555-100-1234.")]
+    got = {r.doc_id: r for r in answer(spark, tmp_path, rows, "all")}
+    assert got[2000].spans == "phone:16:28"
+    assert got[0].n_email == 100 and got[1001].n_phone == 1
+
+
+def test_joins_without_broadcast_give_the_same(spark, tmp_path, monkeypatch):
+    rows = [(i, f"My phone number: +1 (555) 555-{1000 + i} thanks") for i in range(12)]
+    rows += [(100 + i, f"my phone number: 555-{100 + i}-1234, mail to (a{i}@b.de) or my phone number: none") for i in range(10)]
+    rows += [(200 + i, f"mail to a{i}@b.de and mail to x{i}@local, on the 1{i}.2.3.4") for i in range(10)] + awkward()
+    few = sorted(map(repr, answer(spark, tmp_path, rows, "few")))
+    monkeypatch.setattr(pii, "FEW", 0)
+    assert sorted(map(repr, answer(spark, tmp_path, rows, "many"))) == few
+    assert any("phone:17:29" in r for r in few)
+
+
 def test_empty_table(spark, tmp_path):
     assert answer(spark, tmp_path, [], "none") == []
