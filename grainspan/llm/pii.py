@@ -4,8 +4,10 @@
    matches and the gaps between them (its split) give code point offsets by a running sum for each text.
 2. A pattern is a kind and the two words before a seed. All patterns before at least ``SUPPORT`` different seeds are kept.
    Up to ``FEW`` of them are broadcast; more are joined by shuffles, salted, with the same result.
-3. One scan of all texts counts every occurrence of the patterns' words, whatever follows, and takes the
-   tokens that follow and have the loose shape of the kind (an @ among others, enough digits ...).
+3. One scan of all texts counts every occurrence of the patterns' words, whatever follows, and takes what
+   follows and has the loose shape of the kind (an @ among others, enough digits ...): a token, or, for cards and phones,
+   the longest run of digits in groups (6 to 15 digits of a phone, 12 to 19 of a card) that single spaces and brackets part and that no
+   letter, digit or @ follows. A token that alone has 10 digits of a phone or 13 of a card is whole and is not extended.
 4. Patterns and instances form a graph that is scored ``ROUNDS`` times: a pattern by the mean score of what follows it,
    over all its occurrences; an instance by the chance that not all of its patterns are wrong; seeds are certain.
 5. Patterns of at least ``CONFIDENT`` discover the identifiers that follow them and that no seed covers. Words
@@ -38,6 +40,15 @@ EXPRESSIONS = {
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Looser shapes that a kind's patterns may discover.
 SHAPES = {"email": r"^[^@]+@[^@]+$", "ip": r"^[0-9A-Fa-f]{1,4}([.:][0-9A-Fa-f]{0,4}){2,}$", "card": r"^[0-9][0-9Xx*-]{11,}$", "phone": r"^[+(]?[0-9][0-9().-]{5,}$"}
+#: The same with spaces and brackets within: the kind's start, after any opening marks.
+SPACED = {
+    "card": r"[0-9](?:[ -]?[0-9Xx*]){11,18}(?![0-9A-Za-z@*])",
+    "phone": r"(?:(?=\(\+?[0-9]{1,5}\))\()?\+?[0-9](?:(?:\.|[ ()-]{0,3})[0-9]){5,14}(?![0-9A-Za-z@])",
+}
+#: Digits that make a token whole.
+WHOLE = {"card": 13, "phone": 10}
+#: Tokens that a spaced identifier cannot exceed, and tokens whose lengths are added up at once.
+SPAN, CHUNK = 64, 256
 SUPPORT = 3
 #: Patterns up to this number are broadcast, and their words are a list in a filter.
 FEW = 4096
@@ -115,32 +126,45 @@ def with_patterns(left: DataFrame, patterns: DataFrame, few: bool, spread: list[
 def candidates(docs: DataFrame, patterns: DataFrame, few: bool = True) -> tuple[DataFrame, DataFrame]:
     """Occurrences of each pattern's words in all texts, and the tokens after them that have a kind's shape.
 
-    Tokens are cut at single white space characters, so a token's start follows from the lengths before it.
+    Texts are cut after single white space characters, so a token's start follows from the lengths before it, and tokens
+    joined are the text again.
     """
-    tokens = docs.select(F.monotonically_increasing_id().alias("row"), F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", -1).alias("t"))
+    white = r"[\x20\x09-\x0D]"
+    rows, text = F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit(""))
+    tokens = docs.select(F.split(text, white, -1).alias("t"))
     pairs = tokens.select(F.explode(F.expr("transform(sequence(2, greatest(size(t), 2)), i -> lower(concat(get(t, i - 2), ' ', get(t, i - 1))))")).alias("words"))
     if few:
         lefts = [r.words for r in patterns.select("words").distinct().collect()]  # at most FEW
         totals = pairs.filter(F.col("words").isin(lefts)).groupBy("words").agg(F.count("*").alias("total"))
     else:
         totals = pairs.filter("words is not null").groupBy("words").agg(F.count("*").alias("total")).join(patterns.select("words").distinct().hint("shuffle_merge"), "words")
-    found = (
-        tokens.filter(F.exists("t", lambda x: x.rlike("[0-9@]")))
-        .select("row", "t", F.explode(F.expr("filter(sequence(3, greatest(size(t), 3)), i -> get(t, i - 1) rlike '[0-9@]')")).alias("i"))
-        .select("row", F.expr("lower(concat(get(t, i - 3), ' ', get(t, i - 2)))").alias("words"), F.expr("get(t, i - 1)").alias("token"), "t", "i")
-    )
+    found = docs.select(rows, F.split(text, f"(?<={white})", -1).alias("t")).filter(F.exists("t", lambda x: x.rlike("[0-9@]")))
+    found = found.withColumn("sums", F.expr(f"transform(sequence(0, size(t) div {CHUNK}), c -> aggregate(slice(t, c * {CHUNK} + 1, {CHUNK}), 0L, (a, x) -> a + char_length(x)))"))
+    found = found.select("*", F.explode(F.expr("filter(sequence(3, greatest(size(t), 3)), i -> get(t, i - 1) rlike '[0-9@]')")).alias("i"))
+    one, two = (F.expr(f"left(get(t, i - {k}), char_length(get(t, i - {k})) - 1)") for k in (3, 2))
+    found = found.withColumns({"words": F.lower(F.concat(one, F.lit(" "), two)), "token": F.expr("rtrim('\t\n\x0b\f\r ', get(t, i - 1))")})
     if few:
         found = found.join(F.broadcast(patterns.select("words", "kind")), "words")
     else:
         found = found.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in KINDS])))
-    shape = F.when(F.lit(False), F.lit(False))
+    before = F.expr(f"aggregate(slice(sums, 1, (i - 1) div {CHUNK}), 0L, (a, x) -> a + x) + aggregate(slice(t, (i - 1) div {CHUNK} * {CHUNK} + 1, (i - 1) % {CHUNK}), 0L, (a, x) -> a + char_length(x))")
+    found = found.select("row", "words", "kind", "token", before.alias("before"), F.expr(f"array_join(slice(t, i, {SPAN}), '')").alias("rest"))
     core = F.regexp_replace("token", r"^[\"'<\[(]+|[\"'>\]),.;:!?]+$", "")
     lead = F.char_length(F.regexp_extract("token", r"^[\"'<\[(]*", 0))
+    shape = spaced = opening = whole = F.when(F.lit(False), F.lit(None))
     for k in KINDS:
         shape = shape.when(F.col("kind") == k, F.col("core").rlike(SHAPES[k]))
-    found = found.withColumns({"core": core, "before": F.expr("char_length(array_join(slice(t, 1, i - 1), ' ')) + 1"), "lead": lead}).filter(shape)
-    start = (F.col("before") + F.col("lead")).cast("long")
-    found = found.select("row", "words", "kind", F.col("core").alias("value"), start.alias("start"), (start + F.char_length("core")).alias("end"))
+        if k in SPACED:
+            marks = rf"^([\"'<\[(]*?)({SPACED[k]})"
+            spaced = spaced.when(F.col("kind") == k, F.regexp_extract("rest", marks, 2))
+            opening = opening.when(F.col("kind") == k, F.char_length(F.regexp_extract("rest", marks, 1)))
+            whole = whole.when(F.col("kind") == k, F.col("shaped") & (F.char_length(F.regexp_replace("core", "[^0-9Xx*]", "")) >= WHOLE[k]))
+    found = found.withColumns({"core": core, "lead": lead}).withColumn("shaped", shape)
+    found = found.withColumns({"spaced": F.coalesce(spaced, F.lit("")), "opening": opening, "whole": F.coalesce(whole, F.lit(False))})
+    longer = ~F.col("whole") & (F.char_length("spaced") > F.when(F.col("shaped"), F.char_length("core")).otherwise(0))
+    found = found.withColumn("longer", longer).filter("shaped or longer")
+    found = found.withColumns({"value": F.when(F.col("longer"), F.col("spaced")).otherwise(F.col("core")), "start": F.col("before") + F.when(F.col("longer"), F.col("opening")).otherwise(F.col("lead"))})
+    found = found.select("row", "words", "kind", "value", "start", (F.col("start") + F.char_length("value")).alias("end"))
     if not few:
         found = with_patterns(found, patterns.select("words", "kind"), few, ["row", "start"])
     return totals, found
@@ -183,7 +207,9 @@ def personal_spans(docs: DataFrame) -> DataFrame:
         patterns = scratch.save(induced.join(totals, "words"))
         scores = score(patterns, seeds, found, scratch, few=few)
         sure = scores.filter(F.col("score") >= CONFIDENT)
-        new = with_patterns(found, sure, few, ["row", "start"]).groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.first("value").alias("value"))
+        new = with_patterns(found, sure, few, ["row", "start"]).groupBy("row", "start").agg(F.max_by(F.struct("kind", "end", "value"), F.struct("score", "end", "kind")).alias("best")).select("row", "start", "best.*")
+        so_far = Window.partitionBy("row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+        new = new.withColumn("past", F.max("end").over(so_far)).filter("past is null or past <= start")  # none within another
         one, two = new.alias("one"), seeds.alias("two")
         new = one.join(two, (F.col("one.row") == F.col("two.row")) & (F.col("one.start") < F.col("two.end")) & (F.col("two.start") < F.col("one.end")), "left_anti")
         spans = spans.unionByName(new.select("row", "kind", "start", "end", "value", F.lit(True).alias("added")))

@@ -67,6 +67,20 @@ def test_patterns_discover(spark, tmp_path):
     assert all(got[i].n_phone == 1 for i in range(12))
 
 
+def test_spaced_identifiers(spark, tmp_path):
+    rows = [(i, f"My phone number: +1 (555) 555-{1000 + i} thanks") for i in range(12)]
+    cards = [f"4111 1111 {a} {b}" for a in range(1000, 1040) for b in range(1000, 1020)]
+    good, bad = [c for c in cards if luhn(c.replace(" ", ""))], [c for c in cards if not luhn(c.replace(" ", ""))]
+    rows += [(50 + i, f"my card is {c}, thanks") for i, c in enumerate(good[:12])]
+    phones = ["(555) 555-1234", "0171 1234567", "01712345 678", "0171-123 4560", "555-100-1200", "(0)20 7946 0958"]
+    rows += [(100 + i, f"x\tmy phone number: {p}{end}") for i, (p, end) in enumerate(zip(phones, [" 5th day", ". 12 men", ", 7", ")", " 2 men", "\n1 2"], strict=True))]
+    rows += [(200, f"my card is ({bad[0]}) or"), (201, f"my card is {bad[1].replace(' ', '')} 12/25"), (202, "my phone number: 12 34 of")]
+    rows += [(203, "é " * 700 + "my phone number: [(555) 555-1234]")]
+    got = {r.doc_id: r.spans for r in answer(spark, tmp_path, rows, "spaced")}
+    assert [got[100 + i] for i in range(len(phones))] == [f"phone:19:{19 + len(p)}" for p in phones]
+    assert [got[200], got[201], got[202], got[203]] == ["card:12:31", "card:11:27", "", "phone:1418:1432"]
+
+
 def test_all_patterns_are_used(spark, tmp_path):
     # 4,200 patterns with four seeds each, which discover nothing, and one with three that does
     noise = [" ".join(f"a{p} b{p} x{p}.{i}@c.de and" for p in range(b, b + 100)) + " " + " ".join(f"a{p} b{p} c" for p in range(b, b + 100) for _ in range(3)) for b in range(0, 4200, 100) for i in range(4)]
