@@ -12,7 +12,9 @@ are named: article and main against nav, footer, aside, form and the like. It se
 Every page is then labelled whole, in one scan without a shuffle.
 
 Defined results: null or empty html, and pages without content, give an empty text; broken, cut off and unclosed
-markup is read as far as it goes; an unfinished tag at the end is markup, an unfinished character reference is
+markup is read as far as it goes: head is only a mark, as its own elements show no text; a control, picture or player (``_DROPPED``)
+without an end tag ends with its parent or before the next block; script, style and other raw text without an end tag has the rest
+of the page, as in browsers; an unfinished tag at the end is markup, an unfinished character reference is
 text; repeated rows are each labelled; further columns are passed by.
 """
 
@@ -37,12 +39,16 @@ NEXT, SIBLING, NAMED = 0.6, 0.8, 8.0
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)(?:>|\Z))""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "object", "svg", "math", "canvas", "select", "button", "title", "head", "audio", "video"}
-_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>?" + ("|(?=<body\\b)" if t == "head" else ""), re.I) for t in _RAW}
+_RAW = {"script", "style", "noscript", "textarea", "iframe", "title"}
+_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in _RAW}
+#: Elements whose content is not text of the page, and those of them that cannot hold their own kind.
+_DROPPED = {"template", "object", "svg", "math", "canvas", "select", "button", "audio", "video"}
+_FLAT = {"select", "button", "canvas", "audio", "video"}
+_NEXT = {t: re.compile(rf"<(/{'?' if t in _FLAT else ''}){t}\b(?![^<>]*/>)", re.I) for t in _DROPPED}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 _BLOCK = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
-    "header", "hgroup", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption", "hr",
+    "head", "header", "hgroup", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption", "hr",
 }
 #: Elements that end an open element of the second kind.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -61,13 +67,15 @@ FEATURES = 9
 class Element:
     """An open element: its tag, its number, and what it and those around it say of their content."""
 
-    __slots__ = ("tag", "number", "says", "within_good", "depth", "link")
+    __slots__ = ("tag", "number", "says", "within_good", "depth", "link", "dropped", "open")
 
     def __init__(self, tag: str, attributes: str, number: int, up: Element | None):
         self.tag, self.number = tag, number
         self.depth = up.depth + 1 if up else 0
         self.says, self.within_good = (up.says, up.within_good) if up else (0, False)
         self.link = tag == "a" or bool(up and up.link)
+        self.dropped = up.dropped if up and up.dropped else self.depth if tag in _DROPPED else 0  # where in the stack it begins
+        self.open = False  # whether it is known to have no end tag
         names: set[str] = set()
         if attributes and ("=" in attributes or "hidden" in attributes):
             for name, value in _ATTR.findall(attributes):
@@ -101,6 +109,7 @@ def read(html: str) -> tuple[list[Block], list[int]]:
     words: list[str] = []
     linked = 0
     at, end = 0, len(html)
+    ends: dict[str, tuple[int, bool]] = {}  # of the dropped elements: the next tag of the kind, and whether it is an end tag
 
     def flush() -> None:
         nonlocal linked
@@ -113,11 +122,19 @@ def read(html: str) -> tuple[list[Block], list[int]]:
             words.clear()
         linked = 0
 
+    def closed(tag: str) -> bool:
+        """Whether the end tag of a dropped element that starts before ``at`` is to come."""
+        where, is_end = ends.get(tag, (-1, False))
+        if where < at:
+            m = _NEXT[tag].search(html, at)
+            ends[tag] = where, is_end = (m.start(), m[1] == "/") if m else (end, False)
+        return is_end
+
     while at < end:
         start = html.find("<", at)
         if start < 0:
             start = end
-        if start > at:
+        if start > at and not stack[-1].dropped:
             words.append(html[at:start])
             if stack[-1].link:
                 linked += start - at
@@ -125,7 +142,8 @@ def read(html: str) -> tuple[list[Block], list[int]]:
             break
         m = _TAG.match(html, start)
         if not m:
-            words.append("<")
+            if not stack[-1].dropped:
+                words.append("<")
             at = start + 1
             continue
         at = m.end()
@@ -134,30 +152,43 @@ def read(html: str) -> tuple[list[Block], list[int]]:
             continue
         tag = tag.lower()
         if m[1]:
-            if tag in _BLOCK:
+            if tag in _BLOCK and not stack[-1].dropped:
                 flush()
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
+                    if tag in _BLOCK and stack[-1].dropped and not stack[k].dropped:
+                        flush()
                     del stack[k:]
                     break
+                if stack[k].dropped and not stack[k - 1].dropped and tag not in _BLOCK and stack[k - 1].tag != tag:
+                    break  # of inline end tags, a dropped element ends only with its parent's
                 if stack[k].tag in ("article", "main", "body", "td", "table") and tag not in _BLOCK:
                     break  # an inline end tag does not end its container
             continue
         if tag in _RAW:
             if m[3].endswith("/"):
                 continue
-            if tag == "head":
-                flush()
             close = _RAW_END[tag].search(html, at)
             at = close.end() if close else end
             continue
+        if tag in _DROPPED and m[3].endswith("/"):
+            continue
+        if stack[-1].dropped:
+            k = stack[-1].dropped
+            if tag in _BLOCK and stack[k].open or tag == stack[k].tag and tag in _FLAT:
+                del stack[k:]
+        if stack[-1].dropped:
+            if tag not in _VOID:
+                stack.append(Element(tag, "", len(parents), stack[-1]))
+                parents.append(0)
+            continue
         if tag == "br":
             words.append(" ")
             continue
         if tag in _BLOCK:
             flush()
-            if tag in ("html", "body"):
-                if m[3]:
+            if tag in ("html", "head", "body"):
+                if m[3] and tag != "head":
                     parents.append(stack[0].number)
                     stack[0] = Element("html", m[3], 0, None)
                 continue
@@ -170,6 +201,8 @@ def read(html: str) -> tuple[list[Block], list[int]]:
         if tag in _VOID:
             continue
         element = Element(tag, m[3], len(parents), stack[-1])
+        if tag in _DROPPED:
+            element.open = not closed(tag)
         parents.append(next((e.number for e in reversed(stack) if e.tag in _BLOCK), 0))
         stack.append(element)
     flush()

@@ -52,6 +52,27 @@ def test_broken_markup():
     assert html.main_text("<article><p>foo<b>bar</b> <i>x</i></p></article>", html.PLAIN) == "foobar x"
 
 
+@pytest.mark.parametrize("tag", ["button", "select", "object", "svg", "math", "canvas", "audio", "video", "template"])
+def test_elements_without_an_end_tag(tag):
+    for page in (f"<article><div><{tag}>No <b>such</b> text</div>{ARTICLE}</article>", f"<body><{tag}>No text<article>{ARTICLE}</article>", f"<article><p><{tag}>No</p>{ARTICLE}<div><{tag}>no</{tag}></div></article>"):
+        assert html.main_text(page, html.PLAIN) == TEXT, page
+    # with an end tag, nothing within shows and nothing around is parted
+    assert html.main_text(f"<article><p>One <{tag}><div>no <p>no</div> <{tag}/> </b>no</{tag}>two.</p></article>", html.PLAIN) == "One two."
+
+
+def test_head_without_an_end_tag():
+    for head in ("<head><title>no</title>", "<html><head><meta charset=a><script>no</script>", "<head><style>no</style></head><body>", "<head><title>no</title><body class=a>"):
+        assert html.main_text(f"{head}<div>{ARTICLE}</div>", html.PLAIN) == TEXT
+    assert html.main_text("<article><p>One.</p><script>no<p>no</p></article>", html.PLAIN) == "One."
+
+
+def test_many_unclosed_elements_are_linear():
+    page = "<article>" + "<p>Words, and more. <svg><button>" * 20000 + "</article>"
+    assert html.main_text(page[:4000], html.PLAIN).startswith("Words, and more. Words,")
+    assert len(html.read(page)[0]) == 20000
+    assert len(html.read("<svg>" * 3000 + "x" * 10**6)[0]) == 0
+
+
 def test_long_page():
     page = "<nav><a>m</a></nav><article>" + "".join(f"<p>Paragraph {i}, with words.</p>" for i in range(3000)) + "</article>"
     assert html.main_text(page, html.PLAIN) == " ".join(f"Paragraph {i}, with words." for i in range(3000))
