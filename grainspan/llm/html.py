@@ -1,26 +1,34 @@
 """Main text of web pages by a minimum cut between content and boilerplate blocks.
 
 A page is read into blocks of text, each with its place in the tree of elements. A logistic classifier
-over the form of a block (length, links, punctuation, position, element) and what the page itself says of its
-containers (nav, footer, article, class and role names ...) give each block a cost for either label: these are its
-terminal capacities. Blocks next to each other, and blocks next to each other under one container, are joined by
-smoothness edges. The maximum flow separates content from boilerplate, and all content blocks are joined in page
-order.
-
-The classifier learns on ``SAMPLE`` pages (those with the smallest hash of page_id) from blocks whose containers
-are named: article and main against nav, footer, aside, form and the like. It sees none of those names itself.
-Every page is then labelled whole, in one scan without a shuffle.
+over the form of a block (length, links, punctuation, position, element), its log odds kept within ``ODDS``, and bounded evidence
+of what the page says of its containers (nav, footer, article, class and role names ...) give each block a cost for either label:
+these are its terminal capacities. Blocks next to each other, and blocks next to each other under one container, are joined by
+smoothness edges, which are weaker between blocks of which the page says different things. The maximum flow separates content from
+boilerplate, and all content blocks are joined in page order. The edges of a block can outweigh what its name says: a name is
+evidence and no verdict.
+
+Of names, only whole words of class, id and role count: "sidebar", and the last word of a compound ("page-footer") or the first before a
+word of place ("sidebar-left"); "has-sidebar", "comments-open" or "form-style" say nothing. What an element says holds for what is in
+it, but a container, other than nav, header, footer, aside, menu, dialog and address, that holds most of the text of a page, with no text
+of a named article outside it, is a wrapper, and its name says nothing against its content.
+
+The classifier learns on ``SAMPLE`` pages (of those of at most ``SAMPLE_CHARS`` characters, the ones with the smallest hash of page_id) from
+blocks whose containers are named: article and main against nav, footer, aside, form and the like. It sees none of those names itself.
+Every page, of any length, is then labelled whole, in one scan without a shuffle.
 
 Defined results: null or empty html, and pages without content, give an empty text; broken, cut off and unclosed
 markup is read as far as it goes: head is only a mark, as its own elements show no text; a control, picture or player (``_DROPPED``)
 without an end tag ends with its parent or before the next block; script, style and other raw text without an end tag has the rest
-of the page, as in browsers; an unfinished tag at the end is markup, an unfinished character reference is
-text; repeated rows are each labelled; further columns are passed by.
+of the page, as in browsers; noscript and math are text like any other; an unfinished tag at the end is markup, an unfinished character
+reference is text; repeated rows are each labelled; further columns are passed by.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -34,15 +42,19 @@ from .scratch import table
 
 SAMPLE = 400
 SAMPLE_CHARS = 1 << 18
-#: Capacities: of edges between neighbours, of edges within a container, of what a container's name says.
-NEXT, SIBLING, NAMED = 0.6, 0.8, 8.0
+#: Capacities of edges between neighbours and between neighbours in one container, and the part of them that is left between
+#: blocks of which the page says different things.
+NEXT, SIBLING, APART = 0.6, 0.8, 0.6
+#: Bounds of the classifier's log odds, of plain evidence and of names that may well be something else. Between two neighbours in its own
+#: container a block has 2 * APART * (NEXT + SIBLING) = 1.68 of edges, more than NAMED - ODDS.
+ODDS, NAMED, HINTED = 2.5, 4.0, 1.0
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)(?:>|\Z))""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_RAW = {"script", "style", "noscript", "textarea", "iframe", "title"}
+_RAW = {"script", "style", "textarea", "iframe", "title"}
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in _RAW}
 #: Elements whose content is not text of the page, and those of them that cannot hold their own kind.
-_DROPPED = {"template", "object", "svg", "math", "canvas", "select", "button", "audio", "video"}
+_DROPPED = {"template", "object", "svg", "annotation", "annotation-xml", "canvas", "select", "button", "audio", "video"}
 _FLAT = {"select", "button", "canvas", "audio", "video"}
 _NEXT = {t: re.compile(rf"<(/{'?' if t in _FLAT else ''}){t}\b(?![^<>]*/>)", re.I) for t in _DROPPED}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
@@ -54,57 +66,114 @@ _BLOCK = {
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _BAD_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "header", "address"}
 _GOOD_TAGS = {"article", "main"}
+#: Names of containers, as whole words; of those in _MAYBE many stand for something else as well.
 _BAD_NAMES = frozenset(
-    "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead ad ads adv advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice notices gdpr popup modal overlay comment "
-    "comments disqus reply replies respond share sharing social related recommended newsletter subscribe signup login search widget toolbar pagination pager alert legal copyright complementary contentinfo dialog form hidden "
-    "alertdialog".split()
+    "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead ad ads adv advert adverts advertisement advertising sponsored cookie cookies consent gdpr popup modal overlay comment "
+    "comments disqus newsletter subscribe pagination pager toolbar complementary contentinfo alertdialog hidden".split()
 )
-_GOOD_NAMES = frozenset("article main content post entry story body text".split())
-_SPLIT = re.compile(r"[^a-z]+")
+_MAYBE = frozenset("header banner promo notice notices reply replies respond share sharing social related recommended signup login search widget alert legal copyright dialog form sponsor".split())
+_GOOD_NAMES = frozenset("article main content post entry story".split())
+_MAYBE_GOOD = frozenset("body text".split())
+_EVIDENCE = {n: -NAMED for n in _BAD_NAMES} | {n: -HINTED for n in _MAYBE} | {n: NAMED for n in _GOOD_NAMES} | {n: HINTED for n in _MAYBE_GOOD}
+#: First words of compounds that tell a state, and last ones that tell a place or a part.
+_STATES = frozenset("has no not with without is js can show hide open".split())
+_PARTS = frozenset("left right top bottom container wrapper wrap box area list item items block section inner outer bar links holder slot unit content body text title".split())
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_WORD = re.compile(r"[a-z]+")
 FEATURES = 9
 
 
+@functools.lru_cache(1 << 14)
+def evidence(name: str) -> float:
+    """What one whole name says: below 0 against content, above 0 for it."""
+    words = _WORD.findall(_HUMP.sub("-", name[:100]).lower())
+    if not words or words[0] in _STATES and len(words) > 1:
+        return 0.0
+    first, last = _EVIDENCE.get(words[0], 0.0), _EVIDENCE.get(words[-1], 0.0)
+    if len(words) == 1:
+        return first
+    if last < 0:
+        return min(first, last)
+    if words[-1] in _PARTS and first:
+        return first
+    return last
+
+
 class Element:
-    """An open element: its tag, its number, and what it and those around it say of their content."""
+    """An open element: its tag, its number, what it says itself of its content, and whether it says so by its tag."""
 
-    __slots__ = ("tag", "number", "says", "within_good", "depth", "link", "dropped", "open")
+    __slots__ = ("tag", "number", "own", "sure", "within_good", "depth", "link", "dropped", "open", "block")
 
     def __init__(self, tag: str, attributes: str, number: int, up: Element | None):
         self.tag, self.number = tag, number
         self.depth = up.depth + 1 if up else 0
-        self.says, self.within_good = (up.says, up.within_good) if up else (0, False)
+        self.within_good = up.within_good if up else False
         self.link = tag == "a" or bool(up and up.link)
         self.dropped = up.dropped if up and up.dropped else self.depth if tag in _DROPPED else 0  # where in the stack it begins
         self.open = False  # whether it is known to have no end tag
-        names: set[str] = set()
+        self.block: Element = self if not up or tag in _BLOCK else up.block
+        low = high = 0.0
+        hidden = False
         if attributes and ("=" in attributes or "hidden" in attributes):
             for name, value in _ATTR.findall(attributes):
                 name = name.lower()
                 if name in ("class", "id", "role"):
-                    names.update(_SPLIT.split(value.lower()))
+                    for one in value.strip("\"'").split():
+                        said = evidence(one)
+                        if self.within_good and one.lower() == "header":
+                            said = 0.0  # a header within an article belongs to it
+                        low, high = min(low, said), max(high, said)
                 elif name == "hidden" or name == "aria-hidden" and "true" in value or name == "style" and "display:none" in value.replace(" ", "").lower():
-                    names.add("hidden")
-        # A header within an article belongs to it; other names hold wherever they stand.
-        bad = tag in _BAD_TAGS and not (tag in ("header", "address") and self.within_good)
-        if not bad and names & _BAD_NAMES:
-            bad = bool((names & _BAD_NAMES) - ({"header"} if self.within_good or tag in ("body", "html") else set())) and tag not in ("body", "html", "article", "main")
-        if bad:
-            self.says = -1
-        elif (tag in _GOOD_TAGS or names & _GOOD_NAMES and tag not in ("body", "html")) and self.says >= 0:
-            self.says, self.within_good = 1, True
+                    hidden = True
+        if tag in ("body", "html"):
+            low = high = 0.0
+        if tag in _GOOD_TAGS:
+            low, high = 0.0, NAMED
+        by_tag = tag in _BAD_TAGS and not (tag in ("header", "address") and self.within_good)
+        self.sure = by_tag and tag != "form"
+        self.own = -NAMED if by_tag or hidden else low + high if low and high else low or high
+        if self.own > 0:
+            self.within_good = True
 
 
 class Block:
-    __slots__ = ("text", "place", "says", "depth", "tag", "linked")
+    __slots__ = ("text", "place", "says", "tag", "linked")
 
     def __init__(self, text: str, element: Element, linked: int):
-        self.text, self.place, self.says, self.depth, self.tag, self.linked = text, element.number, element.says, element.depth, element.tag, linked
+        self.text, self.place, self.says, self.tag, self.linked = text, element.number, 0.0, element.tag, linked
+
+
+def judge(blocks: list[Block], parents: list[int], own: dict[int, tuple[float, bool]]) -> None:
+    """Sets what the page says of each block. ``own`` has the elements that say something: how much, and whether by their tag."""
+    n = len(parents)
+    size, good, praised = [0] * n, [0] * n, [False] * n
+    for e in range(1, n):  # containers have smaller numbers than what they hold
+        praised[e] = praised[parents[e]] or own.get(e, (0.0,))[0] > 0
+    praised[0] = own.get(0, (0.0,))[0] > 0
+    for b in blocks:
+        size[b.place] += len(b.text)
+        good[b.place] += len(b.text) * praised[b.place]
+    for e in range(n - 1, 0, -1):
+        size[parents[e]] += size[e]
+        good[parents[e]] += good[e]
+    says = [0.0] * n
+    for e in range(n):
+        said, sure = own.get(e, (0.0, False))
+        up = says[parents[e]] if e else 0.0
+        if said < 0 and not sure and 2 * size[e] >= size[0] and good[e] == good[0]:
+            said = 0.0  # a wrapper
+        # What speaks against content holds for all within, and good names in it change nothing.
+        says[e] = min(said, up) if min(said, up) < 0 else max(said, up)
+    for b in blocks:
+        b.says = says[b.place]
 
 
 def read(html: str) -> tuple[list[Block], list[int]]:
-    """Blocks in page order, and the container of each element."""
+    """Blocks in page order, and the block element around each element."""
     root = Element("html", "", 0, None)
-    stack, parents = [root], [0]
+    stack, parents, homes = [root], [0], [0]
+    opened: Counter = Counter()
+    own: dict[int, tuple[float, bool]] = {}
     blocks: list[Block] = []
     words: list[str] = []
     linked = 0
@@ -117,11 +186,16 @@ def read(html: str) -> tuple[list[Block], list[int]]:
             raw = "".join(words)
             text = " ".join((unescape(raw) if "&" in raw else raw).split())
             if text:
-                home = next((e for e in reversed(stack) if e.tag in _BLOCK), root)
-                blocks.append(Block(text, home, min(linked, len(text))))
+                blocks.append(Block(text, stack[-1].block, min(linked, len(text))))
             words.clear()
         linked = 0
 
+    def cut(k: int) -> None:
+        """Ends the open elements from the k-th."""
+        for e in stack[k:]:
+            opened[e.tag] -= 1
+        del stack[k:]
+
     def closed(tag: str) -> bool:
         """Whether the end tag of a dropped element that starts before ``at`` is to come."""
         where, is_end = ends.get(tag, (-1, False))
@@ -154,11 +228,11 @@ def read(html: str) -> tuple[list[Block], list[int]]:
         if m[1]:
             if tag in _BLOCK and not stack[-1].dropped:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k].tag == tag:
                     if tag in _BLOCK and stack[-1].dropped and not stack[k].dropped:
                         flush()
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k].dropped and not stack[k - 1].dropped and tag not in _BLOCK and stack[k - 1].tag != tag:
                     break  # of inline end tags, a dropped element ends only with its parent's
@@ -176,11 +250,13 @@ def read(html: str) -> tuple[list[Block], list[int]]:
         if stack[-1].dropped:
             k = stack[-1].dropped
             if tag in _BLOCK and stack[k].open or tag == stack[k].tag and tag in _FLAT:
-                del stack[k:]
+                cut(k)
         if stack[-1].dropped:
             if tag not in _VOID:
                 stack.append(Element(tag, "", len(parents), stack[-1]))
+                opened[tag] += 1
                 parents.append(0)
+                homes.append(0)
             continue
         if tag == "br":
             words.append(" ")
@@ -189,24 +265,27 @@ def read(html: str) -> tuple[list[Block], list[int]]:
             flush()
             if tag in ("html", "head", "body"):
                 if m[3] and tag != "head":
-                    parents.append(stack[0].number)
-                    stack[0] = Element("html", m[3], 0, None)
+                    top = Element(tag, m[3], 0, None)
+                    if top.own:
+                        own[0] = top.own, False
                 continue
-            for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph and what is open in it
-                if stack[k].tag == "p" or stack[k].tag in _CLOSES.get(tag, ()):
-                    del stack[k:]
-                    break
-                if stack[k].tag in _BLOCK:
-                    break
+            k = stack[-1].block.depth  # a block ends an open paragraph and what is open in it
+            if k and (stack[k].tag == "p" or stack[k].tag in _CLOSES.get(tag, ())):
+                cut(k)
         if tag in _VOID:
             continue
         element = Element(tag, m[3], len(parents), stack[-1])
         if tag in _DROPPED:
             element.open = not closed(tag)
-        parents.append(next((e.number for e in reversed(stack) if e.tag in _BLOCK), 0))
+        if element.own:
+            own[element.number] = element.own, element.sure
+        parents.append(stack[-1].number)
+        homes.append(stack[-1].block.number)
         stack.append(element)
+        opened[tag] += 1
     flush()
-    return blocks, parents
+    judge(blocks, parents, own)
+    return blocks, homes
 
 
 def features(blocks: list[Block]) -> np.ndarray:
@@ -235,8 +314,9 @@ def learn(pages: list[str | None]) -> np.ndarray:
         blocks, _ = read(html or "")
         if blocks:
             says = np.array([b.says for b in blocks])
-            xs.append(features(blocks)[says != 0])
-            ys.append(says[says != 0] > 0)
+            named = np.abs(says) > HINTED
+            xs.append(features(blocks)[named])
+            ys.append(says[named] > 0)
     if not xs:
         return PLAIN
     x, y = np.concatenate(xs), np.concatenate(ys).astype(np.float64)
@@ -251,13 +331,19 @@ def learn(pages: list[str | None]) -> np.ndarray:
     return w
 
 
-def content(blocks: list[Block], parents: list[int], weights: np.ndarray) -> list[bool]:
+def content(blocks: list[Block], homes: list[int], weights: np.ndarray) -> list[bool]:
     """Which blocks are content."""
+    source, sink, edges = graph(blocks, homes, weights)
+    return min_cut(source, sink, edges)
+
+
+def graph(blocks: list[Block], homes: list[int], weights: np.ndarray) -> tuple[list[float], list[float], list[tuple[int, int, float]]]:
+    """Capacities of the blocks to the terminals of content and boilerplate, and edges between blocks."""
     n = len(blocks)
-    logit = np.clip(features(blocks) @ weights, -5, 5).tolist()
+    odds = np.clip(features(blocks) @ weights, -ODDS, ODDS).tolist()
     source, sink = [0.0] * n, [0.0] * n
     for i, b in enumerate(blocks):
-        cost = logit[i] + NAMED * b.says
+        cost = odds[i] + b.says
         if cost >= 0:
             source[i] = cost
         else:
@@ -266,19 +352,19 @@ def content(blocks: list[Block], parents: list[int], weights: np.ndarray) -> lis
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
         if i:
-            edges.append((i - 1, i, NEXT))
-        home = parents[b.place]
+            edges.append((i - 1, i, NEXT * (APART if blocks[i - 1].says != b.says else 1)))
+        home = homes[b.place]
         if home in last:
-            edges.append((last[home], i, SIBLING))
+            edges.append((last[home], i, SIBLING * (APART if blocks[last[home]].says != b.says else 1)))
         last[home] = i
-    return min_cut(source, sink, edges)
+    return source, sink, edges
 
 
 def main_text(html: str | None, weights: np.ndarray) -> str:
-    blocks, parents = read(html or "")
+    blocks, homes = read(html or "")
     if not blocks:
         return ""
-    return " ".join(b.text for b, good in zip(blocks, content(blocks, parents, weights), strict=True) if good)
+    return " ".join(b.text for b, good in zip(blocks, content(blocks, homes, weights), strict=True) if good)
 
 
 def extracted(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:

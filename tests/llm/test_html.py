@@ -52,7 +52,7 @@ def test_broken_markup():
     assert html.main_text("<article><p>foo<b>bar</b> <i>x</i></p></article>", html.PLAIN) == "foobar x"
 
 
-@pytest.mark.parametrize("tag", ["button", "select", "object", "svg", "math", "canvas", "audio", "video", "template"])
+@pytest.mark.parametrize("tag", ["button", "select", "object", "svg", "annotation", "canvas", "audio", "video", "template"])
 def test_elements_without_an_end_tag(tag):
     for page in (f"<article><div><{tag}>No <b>such</b> text</div>{ARTICLE}</article>", f"<body><{tag}>No text<article>{ARTICLE}</article>", f"<article><p><{tag}>No</p>{ARTICLE}<div><{tag}>no</{tag}></div></article>"):
         assert html.main_text(page, html.PLAIN) == TEXT, page
@@ -92,3 +92,66 @@ def test_table(spark):
     out = html.extracted(spark.createDataFrame(rows, schema))
     assert sorted(((r.page_id, r.url, r.text, r.n_chars) for r in out.collect()), key=repr) == sorted([(1, "u", TEXT, len(TEXT))] * 2 + [(None, None, "", 0), (3, "v", "", 0)], key=repr)
     assert html.extracted(spark.createDataFrame([], schema)).count() == 0
+
+
+PROSE = " ".join(f"<p>Paragraph {i} has a number of words, commas, and a full stop at its end.</p>" for i in range(6))
+PLAIN_PROSE = " ".join(f"Paragraph {i} has a number of words, commas, and a full stop at its end." for i in range(6))
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["main has-sidebar", "post comments-open", "entry form-style", "container legal-news", "content share-enabled", "no-sidebar", "is-modal-page", "sidebar", "form", "search", "widget post", "pageWithSidebar", "layout-ad-free"],
+)
+def test_names_of_wrappers_keep_the_article(name):
+    for tag in ("div", "section", "form"):
+        assert html.main_text(f"<nav><a href=1>Home</a></nav><{tag} class='{name}'>{PROSE}</{tag}><footer>&copy; us</footer>", html.PLAIN) == PLAIN_PROSE
+
+
+@pytest.mark.parametrize("name", ["sidebar", "page-footer", "ad-slot", "cookie-notice", "comment-list", "siteFooter", "ad", "newsletter signup", "comment-content"])
+def test_names_of_parts_drop_them(name):
+    part = f"<div class='{name}'><p>Some words that are not the article, and more.</p></div>"
+    for page in (f"<div>{PROSE}</div>{part}", f"{part}<div>{PROSE}</div>", f"<article>{PROSE}</article>{part * 12}"):
+        assert html.main_text(page, html.PLAIN) == PLAIN_PROSE
+    assert html.main_text(f"<article>{PROSE}{part}{PROSE}</article>", html.PLAIN) == f"{PLAIN_PROSE} {PLAIN_PROSE}"
+
+
+def test_neighbours_outweigh_a_name():
+    """The same named block is content between paragraphs of its container and boilerplate on its own."""
+    long = "This is a long block of prose, of many words, with commas, and with all that the classifier takes for content; " * 8 + "so it goes."
+    article = "".join(f"<div>{long}</div>" for _ in range(3))
+    weights = html.PLAIN + np.array([1.0] + [0.0] * 8)
+    blocks, homes = html.read(f"<div>{article}<div class=ad>{long}</div>{article}</div>")
+    assert blocks[3].says == -html.NAMED and html.content(blocks, homes, weights) == [True] * 7
+    blocks, homes = html.read(f"<div>{article}</div><div class=ad>{long}</div><ul><li><a href=1>x</a></li></ul>")
+    assert html.content(blocks, homes, weights) == [True] * 3 + [False] * 2
+    for name in ("related", "notice"):  # a name that may be something else
+        assert "Short one." in html.main_text(f"<article>{PROSE}<p class={name}>Short one.</p>{PROSE}</article>", html.PLAIN)
+
+
+def test_math_and_noscript_are_text():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding=tex>x=2</annotation></math> be given.</p><noscript><p>Here, as well, is text of the article.</p></noscript></article>"
+    assert html.main_text(page, html.PLAIN) == "Let x=2 be given. Here, as well, is text of the article."
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_whole_pages_against_all_labellings(seed):
+    """A page's labelling costs as little as the best of all its labellings."""
+    rng = random.Random(seed)
+    part = lambda: rng.choice(["<p>{}</p>", "<li>{}</li>", "<div class=ad>{}</div>", "<a href=1>{}</a><hr>", "<section class=related>{}</section>"]).format(" ".join("word" for _ in range(rng.choice([1, 5, 40]))) + rng.choice([".", ""]))
+    page = "".join(rng.choice(["<nav>{}</nav>", "<article>{}</article>", "<div>{}</div>", "<div class=post>{}</div>"]).format("".join(part() for _ in range(rng.randint(1, 3)))) for _ in range(4))
+    blocks, homes = html.read(page)
+    source, sink, edges = html.graph(blocks, homes, html.PLAIN)
+    best = min(cut_value(source, sink, edges, side) for side in itertools.product([False, True], repeat=len(blocks)))
+    assert cut_value(source, sink, edges, html.content(blocks, homes, html.PLAIN)) == pytest.approx(best)
+
+
+def test_a_hundred_thousand_blocks_take_seconds():
+    import time
+
+    rng = random.Random(1)
+    page = "".join(rng.choice([f"<p>{'word, ' * rng.randint(1, 30)}end.</p>", f"<div><a href=1>link {i}</a></div>", f"<ul><li>item {i}</li></ul>"]) for i in range(100_000))
+    begun = time.thread_time()
+    assert len(html.main_text(page, html.PLAIN)) > 10**6
+    deep = "<div><b><i>" * 20_000 + PROSE + "</x></b>" * 20_000
+    html.main_text(deep, html.PLAIN)
+    assert time.thread_time() - begun < 60
