@@ -102,3 +102,33 @@ def test_joins_without_broadcast_give_the_same(spark, tmp_path, monkeypatch):
 
 def test_empty_table(spark, tmp_path):
     assert answer(spark, tmp_path, [], "none") == []
+
+
+def test_discovered_identifiers_induce(spark, tmp_path):
+    rows = [(i, f"My phone number: +1 (555) 555-{1000 + i} thanks") for i in range(12)]
+    rows += [(100 + i, f"my phone number: 555-{100 + i}-1234") for i in range(5)]
+    rows += [(200 + i, f"please call 555-{100 + i}-1234") for i in range(5)]  # values known only by discovery
+    rows += [(300, "please call 555-777-9999"), (301, "it was a 555-777-9998")]
+    got = {r.doc_id: r.spans for r in answer(spark, tmp_path, rows, "again")}
+    assert got[200] == got[300] == "phone:12:24" and got[301] == ""
+
+
+def test_many_hits_in_one_text_are_linear(spark, tmp_path):
+    rows = [(i, f"My phone number: +1 (555) 555-{1000 + i} thanks") for i in range(12)]
+    some = [f"my phone number: 555-{i}-1234" for i in range(100, 100 + 30000)]
+    rows += [(100, " ".join(some))]
+    got = {r.doc_id: r.spans for r in answer(spark, tmp_path, rows, "hits")}
+    at, want = 0, []
+    for x in some:
+        want.append(f"phone:{at + 17}:{at + len(x)}")
+        at += len(x) + 1
+    assert got[100].split(",") == want
+
+
+def test_far_words_and_further_columns(spark, tmp_path):
+    long = "w" * 300
+    rows = [(i, f"{long} number: +1 (555) 555-{1000 + i} thanks", "en", "s", 1, "a", None, "b") for i in range(4)] + [(10, f"{long} number: 555-100-1234", None, None, None, None, "x", "y")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string, hits string, words string")
+    frame.write.parquet(str(tmp_path / "far" / "documents.parquet"))
+    got = {r.doc_id: r.spans for r in pii.op7_personal_data(spark, str(tmp_path / "far")).collect()}
+    assert got[10] == "phone:309:321"
