@@ -212,6 +212,15 @@ def score(patterns: DataFrame, known: DataFrame, after: DataFrame, scratch: Scra
     return scores
 
 
+def apart(new: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The spans of ``new`` that overlap none of ``seeds``, by two passes along each text."""
+    both = new.select("row", "kind", "start", "end", "value", F.lit(False).alias("seed")).unionByName(seeds.select("row", "kind", "start", "end", "value", F.lit(True).alias("seed")))
+    along = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    back = Window.partitionBy("row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumns({"before": F.max(F.when(F.col("seed"), F.col("end"))).over(along), "next": F.min(F.when(F.col("seed"), F.col("start"))).over(back)})
+    return both.filter("not seed and (before is null or before <= start) and (next is null or next >= end)").select("row", "kind", "start", "end", "value")
+
+
 def personal_spans(docs: DataFrame) -> DataFrame:
     """row, doc_id, base and added (arrays of kind number, kind, start, end, value) for each row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "pii")
@@ -241,6 +250,7 @@ def personal_spans(docs: DataFrame) -> DataFrame:
         at = with_patterns(found, sure, few, ["row", "start"])
         discovered = scratch.save(at.groupBy("row", "start").agg(F.max_by(F.struct("kind", "end", "value"), F.struct("score", "end", "kind")).alias("best"), F.max("score").alias("score")).select("row", "start", "best.*", "score"))
         if discovered.isEmpty():
+            discovered = None
             break
         # A value that was discovered somewhere is known wherever it stands.
         values = discovered.groupBy("kind", "value").agg(F.max("score").alias("prior")).join(certain, ["kind", "value"], "left_anti")
@@ -251,8 +261,7 @@ def personal_spans(docs: DataFrame) -> DataFrame:
     if discovered is not None:
         so_far = Window.partitionBy("row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
         new = discovered.withColumn("past", F.max("end").over(so_far)).filter("past is null or past <= start")  # none within another
-        one, two = new.alias("one"), seeds.alias("two")
-        new = one.join(two, (F.col("one.row") == F.col("two.row")) & (F.col("one.start") < F.col("two.end")) & (F.col("two.start") < F.col("one.end")), "left_anti")
+        new = apart(new, seeds)
         spans = spans.unionByName(new.select("row", "kind", "start", "end", "value", F.lit(True).alias("added")))
     number = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     item = F.struct(number.alias("k"), "start", "end", "kind", "value")
