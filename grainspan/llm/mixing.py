@@ -1,8 +1,9 @@
 """Mixing to target weights by soft membership.
 
 1. A classifier learns domains from a labelled table: logistic regression on which hashed words and word
-   beginnings a text has. It learns on at most ``LABELLED`` labelled rows (those with the smallest hash of doc_id)
-   whose crc32(doc_id as text) mod 4 is not 2; buckets that fewer than ``LEAST_ROWS`` of them have are left out.
+   beginnings a text has. The domains are plain, low (of low quality) and toxic. It learns on at most ``LABELLED`` labelled rows (those
+   with the smallest hash of doc_id) whose crc32(doc_id as text) mod 4 is not 2; buckets that fewer than ``LEAST_ROWS`` of them have, or that no
+   domain has far more or less often than chance, are left out: they are counted in the cluster, and the driver gets the rest only.
 2. One scan gives every whole document its tokens (words) and its posterior for each domain.
 3. Each document d gets a rate r_d >= 0, the expected number of its copies, by projected-gradient least squares on
 
@@ -14,9 +15,10 @@
    ``CLOSE`` of its own domain's share. Rates in a step follow from the document's
    posterior and the residuals of the steps before, so a step is one pass over the small table of tokens and posteriors
    that adds up one number a domain, and what the driver keeps is steps * domains numbers. The budget defaults to
-   the most that needs no domain upsampled.
-4. A rate becomes copies: rates within ``SNAP`` of a whole number are that number, others are rounded up
-   or down by a hash of doc_id, so that expected totals stay.
+   the most that needs no domain upsampled. A target below what the least likely documents of a domain already hold of it cannot be met;
+   the largest residual that is left, relative to its domain's budget, is returned with the rates, and over ``TOLERANCE`` it is warned of.
+4. A rate becomes copies: it is rounded up with the chance of its fraction, by a hash of doc_id, and else down, so that
+   expected totals stay for every rate. ``achieved`` gives each domain's share before, its target, and its expected and its realised share.
 
 Defined results: null or empty texts have no tokens, the posterior of a text without words, and the rate that follows
 from it; repeated rows are treated alike; a label that is null or whose document is missing is not learnt from; without
@@ -38,9 +40,12 @@ from .quality import bucket
 from .scratch import Scratch, table
 from .textkit import LOWER, mix, runs, span_hashes, word_bounds
 
-#: Domains by the labelled table's ``toxic`` column, and the weights of their tokens that are asked for.
-DOMAINS = ("plain", "toxic")
-TARGETS = (1.0, 0.0)
+#: Domains by the labelled table's columns, and the weights of their tokens that are asked for.
+DOMAINS = ("plain", "low", "toxic")
+DOMAIN = "CASE WHEN toxic = 1 THEN 2 WHEN toxic = 0 THEN 1 - quality END"
+TARGETS = (0.88, 0.06, 0.06)
+#: Of a corpus that has passed a quality filter: plain and toxic documents only.
+FILTERED_DOMAIN, FILTERED_TARGETS = "toxic", (0.99, 0.01)
 LABELLED = 6000
 LEAST_ROWS = 5
 BUCKET_BITS = 20
@@ -55,7 +60,7 @@ STEPS = 1000
 CLOSE = 1e-4
 STILL = 3
 KEPT = 25
-SNAP = 0.05
+TOLERANCE = 0.02
 
 
 def hashed(data: np.ndarray, offsets: np.ndarray, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,13 +111,6 @@ def fit(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, domains: int
     shares = np.bincount(labels, minlength=domains) / n if n else np.full(domains, 1 / domains)
     if not n or (shares > 0).sum() < 2:
         return Classifier(np.zeros((size, domains)), np.log(np.maximum(shares, 1e-12)))
-    # A bucket is kept if some domain has it far more or less often than chance would let all rows share it.
-    seen = np.stack([np.bincount(buckets[labels[rows] == k], minlength=size) for k in range(domains)], 1)
-    every = seen.sum(1)
-    due = every[:, None] * shares
-    spread = np.sqrt(due * (1 - shares) * (1 - every[:, None] / n) + 0.25)
-    keep = ((every >= LEAST_ROWS) & ((np.abs(seen - due) - 0.5) / spread > SURE).any(1))[buckets]
-    rows, buckets = rows[keep], buckets[keep]
     used, at = np.unique(buckets, return_inverse=True)
     want = np.eye(domains)[labels]
     w, bias = np.zeros((used.size, domains)), np.log(np.maximum(shares, 1e-3))
@@ -129,12 +127,35 @@ def fit(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, domains: int
     return Classifier(full, bias)
 
 
-def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", domains: int = len(DOMAINS), limit: int = LABELLED) -> Classifier:
-    """A classifier from the labelled rows of ``docs``."""
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("domain"))
+def telling(found: DataFrame, sizes: list[int]) -> np.ndarray:
+    """Buckets of ``found`` (domain, buckets) that LEAST_ROWS rows have and some domain has far more or less often than chance
+    would let all rows share them. ``sizes`` are the domains' rows."""
+    domains, n = len(sizes), sum(sizes)
+    names = [f"n{k}" for k in range(domains)]
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((1 << BUCKET_BITS, domains), np.int64)
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total[np.frombuffer(x.as_buffer(), np.int32), k] += 1
+        some = np.flatnonzero(total.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[some, k]) for k in range(domains))], ["bucket", *names])
+
+    seen = found.mapInArrow(tally, ", ".join(f"{c} long" for c in ("bucket", *names))).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in names))
+    every = sum(F.col(c) for c in names)
+    far = F.lit(False)
+    for c, size in zip(names, sizes, strict=True):
+        due = every * F.lit(size / n)
+        far = far | ((F.abs(F.col(c) - due) - 0.5) / F.sqrt(due * F.lit(1 - size / n) * (1 - every / F.lit(n)) + 0.25) > SURE)
+    return np.array([r.bucket for r in seen.filter((every >= LEAST_ROWS) & far).select("bucket").toLocalIterator()], np.int64)  # at most 2 ** BUCKET_BITS
+
+
+def learn(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN, domains: int = len(DOMAINS), limit: int = LABELLED) -> Classifier:
+    """A classifier from the labelled rows of ``docs``; ``domain`` is the number of a labelled row's domain, in SQL."""
+    scratch = Scratch(docs.sparkSession, "labelled")
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(domain).cast("int").alias("domain"))
     marked = marked.filter(F.col("domain").between(0, domains - 1) & (bucket(F.col("doc_id"), 4) != 2) & F.col("doc_id").isNotNull())
-    marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(limit)
-    chosen = Scratch(docs.sparkSession, "labelled").save(marked)
+    chosen = scratch.save(marked.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(limit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,14 +165,26 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", domains: in
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([p.tobytes() for p in parts], pa.binary())], ["domain", "buckets"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most ``limit`` ids
-    found = texts.select("domain", "text").mapInArrow(run, "domain int, buckets binary")
-    parts, domain = [], []
-    for r in found.toLocalIterator():
-        if len(parts) < limit:
-            parts.append(np.frombuffer(r.buckets, np.int32))
-            domain.append(r.domain)
+    found = scratch.save(texts.select("domain", "text").mapInArrow(run, "domain int, buckets binary"))
+    sizes = [0] * domains
+    for r in found.groupBy("domain").count().collect():
+        sizes[r.domain] = r["count"]
+    kept = telling(found, sizes) if sum(x > 0 for x in sizes) > 1 else np.zeros(0, np.int64)
+    mask = np.zeros(1 << BUCKET_BITS, bool)
+    mask[kept] = True
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[mask[x]].tobytes() for x in every], pa.binary())], ["domain", "buckets"])
+
+    parts, labelled = [], []
+    for r in found.mapInArrow(pick, "domain int, buckets binary").toLocalIterator():
+        parts.append(np.frombuffer(r.buckets, np.int32))
+        labelled.append(r.domain)
+    scratch.clear()
     rows = np.repeat(np.arange(len(parts)), [p.size for p in parts])
-    return fit(rows, np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int64), np.array(domain, np.int64), domains)
+    return fit(rows, np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int64), np.array(labelled, np.int64), domains)
 
 
 State = tuple[np.ndarray, np.ndarray, float, float]
@@ -180,7 +213,13 @@ def rates(p: np.ndarray, residuals: list[np.ndarray], step: float, most: float |
 
 
 def solve(weighted: DataFrame, targets: tuple[float, ...], budget: float | None = None, most: float | None = MOST) -> tuple[list[np.ndarray], float]:
-    """Residuals of the steps, and the step size, for ``weighted`` (tokens, p), a table that is read once a step.
+    """Residuals of the steps, and the step size, for ``weighted`` (tokens, p); see ``solved``."""
+    return solved(weighted, targets, budget, most)[:2]
+
+
+def solved(weighted: DataFrame, targets: tuple[float, ...], budget: float | None = None, most: float | None = MOST) -> tuple[list[np.ndarray], float, float]:
+    """Residuals of the steps, the step size, and the largest residual in the end relative to its domain's budget (to the
+    whole budget where the target is 0), for ``weighted`` (tokens, p), a table that is read once a step.
 
     Every ``KEPT`` steps r and y are written down, so that a step repeats at most that many.
     """
@@ -220,7 +259,7 @@ def solve(weighted: DataFrame, targets: tuple[float, ...], budget: float | None
 
     now, total = sums()
     if not total:
-        return [], step
+        return [], step, 0.0
     share = now / total
     if budget is None:
         budget = float(min(share[want > 0] / want[want > 0]))
@@ -243,15 +282,17 @@ def solve(weighted: DataFrame, targets: tuple[float, ...], budget: float | None
     else:
         warnings.warn(f"op4: rates still changed after {STEPS} steps", stacklevel=2)
     scratch.clear()
-    return residuals, step
+    left = float(np.max(np.abs(now / total - budget * want) / np.where(want > 0, budget * want, budget))) if budget > 0 else 0.0
+    if left > TOLERANCE:
+        warnings.warn(f"op4: the targets cannot be met; the largest residual is {left:.3f} of its domain's budget", stacklevel=2)
+    return residuals, step, left
 
 
 def copies(doc_id: pa.Array, rate: np.ndarray) -> np.ndarray:
-    """Whole numbers of copies."""
-    whole = np.rint(rate)
+    """Whole numbers of copies, whose expectation over ids is the rate."""
     ids = np.array([hash_id(x) for x in doc_id.to_pylist()], np.uint64)
     up = (mix(ids) >> np.uint64(11)).astype(np.float64) / 2**53 < rate - np.floor(rate)
-    return np.where(np.abs(rate - whole) <= SNAP, whole, np.floor(rate) + up).astype(np.int64)
+    return (np.floor(rate) + up).astype(np.int64)
 
 
 def hash_id(x: int | None) -> int:
@@ -259,18 +300,18 @@ def hash_id(x: int | None) -> int:
 
 
 class Mix:
-    """A classifier and the rates it leads to."""
+    """A classifier, the rates it leads to, and the relative residual that they leave."""
 
-    def __init__(self, classifier: Classifier, residuals: list[np.ndarray], step: float, most: float | None):
-        self.classifier, self.residuals, self.step, self.most = classifier, residuals, step, most
+    def __init__(self, classifier: Classifier, residuals: list[np.ndarray], step: float, left: float, most: float | None):
+        self.classifier, self.residuals, self.step, self.left, self.most = classifier, residuals, step, left, most
 
     def rates(self, p: np.ndarray) -> np.ndarray:
         return rates(p, self.residuals, self.step, self.most)[0]
 
 
-def plan(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, budget: float | None = None, most: float | None = MOST) -> tuple[Mix, DataFrame]:
+def plan(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, budget: float | None = None, most: float | None = MOST, domain: str = DOMAIN) -> tuple[Mix, DataFrame]:
     """The mix for ``docs``, and doc_id, tokens and p of each row."""
-    classifier = learn(docs, labels, domains=len(targets))
+    classifier = learn(docs, labels, domain, len(targets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,12 +324,12 @@ def plan(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGET
 
     soft = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, tokens long, p array<double>")
     soft = Scratch(docs.sparkSession, "mixing").save(soft)
-    return Mix(classifier, *solve(soft, targets, budget, most), most), soft
+    return Mix(classifier, *solved(soft, targets, budget, most), most), soft
 
 
-def rated(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, budget: float | None = None, most: float | None = MOST) -> DataFrame:
-    """doc_id, n_tokens, p (by domain), rate and copies of each row of ``docs``."""
-    made, soft = plan(docs, labels, targets, budget, most)
+def rated(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, budget: float | None = None, most: float | None = MOST, domain: str = DOMAIN) -> DataFrame:
+    """doc_id, n_tokens, p (by domain), rate and copies of each row of ``docs``, and the residual, one for all."""
+    made, soft = plan(docs, labels, targets, budget, most, domain)
     k = len(targets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,12 +337,22 @@ def rated(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGE
             r = made.rates(batch.column(2).flatten().to_numpy().reshape(-1, k))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r), pa.array(copies(batch.column(0), r))], ["doc_id", "n_tokens", "p", "rate", "copies"])
 
-    return soft.mapInArrow(run, "doc_id long, n_tokens long, p array<double>, rate double, copies long")
+    return soft.mapInArrow(run, "doc_id long, n_tokens long, p array<double>, rate double, copies long").withColumn("residual", F.lit(made.left))
+
+
+def achieved(mix: DataFrame, targets: tuple[float, ...] = TARGETS) -> DataFrame:
+    """domain, before, target, expected and realised: shares of tokens, for the rows of ``rated``."""
+    k = len(targets)
+    of = lambda by: [F.sum(F.col("n_tokens") * F.col("p")[i] * by).alias(f"x{i}") for i in range(k)]
+    parts = [mix.agg(*of(by)).select(F.lit(name).alias("what"), F.posexplode(F.array(*[F.col(f"x{i}") / sum(F.col(f"x{j}") for j in range(k)) for i in range(k)])).alias("domain", "share")) for name, by in (("before", F.lit(1.0)), ("expected", F.col("rate")), ("realised", F.col("copies")))]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    wide = every.groupBy("domain").agg(*(F.max(F.when(F.col("what") == c, F.col("share"))).alias(c) for c in ("before", "expected", "realised")))
+    return wide.withColumn("target", F.element_at(F.array(*[F.lit(t / sum(targets)) for t in targets]), F.col("domain") + 1))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, budget: float | None = None, most: float | None = MOST) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, budget: float | None = None, most: float | None = MOST, domain: str = DOMAIN) -> DataFrame:
     """Each document as often as its rate says, all columns as they were. Texts stay where they are."""
-    made, _ = plan(docs, labels, targets, budget, most)
+    made, _ = plan(docs, labels, targets, budget, most, domain)
     text, doc_id = docs.columns.index("text"), docs.columns.index("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,4 +370,4 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGE
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posteriors, rates and copies of all documents."""
     out = rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "n_tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", "copies")
+    return out.select("doc_id", "n_tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", "copies", "residual")
