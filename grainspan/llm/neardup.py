@@ -3,7 +3,7 @@
 Documents are sets of distinct five-word shingles; two are linked if 100 * intersection >= 85 * union.
 
 1. One scan makes, for each document, the size of its set, a 128-bit fingerprint of it and a signature of
-   ``COORDINATES`` minima. Documents with one fingerprint are one class; only its smallest doc_id goes on.
+   ``COORDINATES`` minima. Documents with one fingerprint are one class, which goes on under the fingerprint; doc_ids come back at the end.
 2. Classes are posted under each coordinate-value pair. A value that only one class has can match nobody,
    so a class with fewer than ``MATCHES`` shared values has no partner and goes.
 3. The rest of a class's values are ordered by list length, rarest first. A pair with MATCHES common values
@@ -13,15 +13,17 @@ Documents are sets of distinct five-word shingles; two are linked if 100 * inter
 
 No list is expanded into all pairs: first each list's members meet one hub, the member whose values are
 most shared in the whole corpus (in a family of copies, the original), which joins a family of any size
-with as many pairs as members. Components that then still share a list are compared on full sets in blocks of
-bounded size, without their largest component's own pairs, so no link between components is lost.
+with as many pairs as members. Components that then still share a list have their collisions counted in blocks of signatures of
+bounded size, without their largest component's own pairs; members of pairs with MATCHES collisions are then compared on full sets in their
+block, so no link between components is lost. What is left quadratic is the number of members of a family that share lists with it and yet are
+linked with none of its hubs.
 
 A pair at exactly 0.85 agrees in 54 of 64 coordinates on average and is no candidate below 41; with independent
 coordinates that is one in 110,000 such pairs, and one in 1.4 million at 0.87.
 
 Defined results: a null, empty or blank text has no shingles and is linked with nothing; fewer than five
 words are one shingle; equal sets are linked; rows that repeat a doc_id keep their rows and share a
-component; a null doc_id is never the smallest of a component, and alone has a null component and is kept.
+component, whatever their texts; a null doc_id is never the smallest of a component, and without others has a null component and is kept.
 Further columns are passed by.
 """
 
@@ -90,11 +92,24 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """fp and members of texts; of columns id and text, the id is not used."""
+    import xxhash
+
     for batch in batches:
-        for a, b, data, offsets in runs(batch.column(1)):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(data, offsets)], pa.binary())], ["rep", "members"]
-            )
+        for _, _, data, offsets in runs(batch.column(1)):
+            sets = [s for s in shingle_sets(data, offsets) if s.size]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.data) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "members"])
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows, with the text's position given by the caller as the last column, and the fingerprint of their sets."""
+    import xxhash
+
+    for batch in batches:
+        fps = []
+        for _, _, data, offsets in runs(batch.column(batch.num_columns - 1)):
+            fps += [xxhash.xxh3_128_digest(s.data) if s.size else None for s in shingle_sets(data, offsets)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps, pa.binary())], [*batch.schema.names[:-1], "fp"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,103 +132,128 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
+def components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles and fp of each row of ``docs``, and fp, root and smallest doc_id of the component of each class that
+    has other rows."""
     spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "neardup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = scratch.save(docs.mapInArrow(_sign, "doc_id long, n_shingles long, fp binary, sig array<long>"))
 
     # One row for each class; the signature of any member is that of all.
     classes = scratch.save(
-        signed.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.any_value("sig").alias("sig"))
+        signed.filter("fp is not null").groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.any_value("sig").alias("sig"))
     )
-    reps = classes.filter("rep is not null")
-    posted = reps.select("rep", F.explode("sig").alias("key"))
+    posted = classes.select("node", F.explode("sig").alias("key"))
     lengths = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = posted.join(lengths, "key")
     candidates = scratch.save(
-        shared.groupBy("rep")
+        shared.groupBy("node")
         .agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("lists"))  # at most COORDINATES for each class
         .filter(F.size("lists") >= MATCHES)
-        .select("rep", F.expr(f"transform(slice(lists, 1, size(lists) - {MATCHES - 1}), x -> x.key)").alias("prefix"), F.expr("aggregate(lists, 0L, (a, x) -> a + x.n)").alias("weight"))
+        .select("node", F.expr(f"transform(slice(lists, 1, size(lists) - {MATCHES - 1}), x -> x.key)").alias("prefix"), F.expr("aggregate(lists, 0L, (a, x) -> a + x.n)").alias("weight"))
     )
     n_candidates = candidates.count()
     if not n_candidates:
-        linked = spark.createDataFrame([], "node long, component long")
+        linked = spark.createDataFrame([], "node binary, component binary")
     else:
-        wanted = candidates.select("rep")
+        wanted = candidates.select("node")
         if n_candidates <= BROADCAST_IDS:
             wanted = F.broadcast(wanted)
-        sets = scratch.save(docs.join(wanted, docs.doc_id == wanted.rep, "left_semi").mapInArrow(_full_sets, "rep long, members binary"))
-        sigs = scratch.save(reps.join(wanted, "rep", "left_semi").select("rep", "sig").dropDuplicates(["rep"]))
-        lists = scratch.save(candidates.select("rep", "weight", F.explode("prefix").alias("key")))
-
-        hubs = lists.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("hub"))
-        stars = lists.join(hubs, "key").filter("rep <> hub").select(F.least("rep", "hub").alias("x"), F.greatest("rep", "hub").alias("y")).distinct()
+        # Of each class one text is read, that of its smallest doc_id; where that id has several texts, all of them are and one stays.
+        ids = classes.join(wanted, "node", "left_semi").select(F.col("rep").alias("id")).distinct()
+        if n_candidates <= BROADCAST_IDS:
+            ids = F.broadcast(ids)
+        sets = docs.join(ids, docs.doc_id.eqNullSafe(ids.id), "left_semi").mapInArrow(_full_sets, "node binary, members binary")
+        sets = scratch.save(sets.join(wanted, "node", "left_semi"))
+        if sets.count() > n_candidates:
+            sets = scratch.save(sets.groupBy("node").agg(F.any_value("members").alias("members")))
+        sigs = scratch.save(classes.join(wanted, "node", "left_semi").select("node", "sig"))
+        lists = scratch.save(candidates.select("node", "weight", F.explode("prefix").alias("key")))
+
+        hubs = lists.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top")).select("key", F.col("top.node").alias("hub"))
+        stars = lists.join(hubs, "key").filter("node <> hub").select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")).distinct()
         links = scratch.save(_confirmed(stars, sigs, sets))
         linked = connected(links.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
 
         # Components that still share a list are compared member by member, in blocks.
-        named = lists.join(linked, lists.rep == linked.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+        named = lists.join(linked, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key", "lo")
-        named = scratch.save(named.join(mixed, "key").select("rep", "component", "lo").distinct())
+        named = scratch.save(named.join(mixed, "key").select("node", "component", "lo").distinct())
         if not named.isEmpty():
             families = connected(named.select(F.col("component").alias("a"), F.col("lo").alias("b")), scratch)
-            more = scratch.save(_blockwise(named.select("rep", "component").distinct(), families, sets, scratch))
+            more = scratch.save(_blockwise(named.select("node", "component").distinct(), families, sigs, sets, scratch))
             if not more.isEmpty():
                 linked = connected(links.select("x", "y").unionByName(more).select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
 
     # Classes that are alone need no answer but their own.
-    joined = classes.join(linked, classes.rep == linked.node, "left").filter("component is not null or rows > 1").select("fp", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "fp").join(joined, "fp", "left")
+    grouped = classes.join(linked, "node", "left").filter("component is not null or rows > 1").select("node", "rep", F.coalesce("component", "node").alias("root"))
+    least = grouped.groupBy("root").agg(F.min("rep").alias("component"))
+    return signed.select("doc_id", "n_shingles", "fp"), grouped.join(least, "root").select(F.col("node").alias("fp"), "root", "component")
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
+    signed, grouped = components(docs, scratch or Scratch(docs.sparkSession, "neardup"))
+    out = signed.join(grouped.select("fp", "component"), "fp", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (x, y) whose signatures agree in MATCHES coordinates and whose full sets are linked."""
-    left, right = sigs.select(F.col("rep").alias("x"), F.col("sig").alias("sig_x")), sigs.select(F.col("rep").alias("y"), F.col("sig").alias("sig_y"))
+    left, right = sigs.select(F.col("node").alias("x"), F.col("sig").alias("sig_x")), sigs.select(F.col("node").alias("y"), F.col("sig").alias("sig_y"))
     agree = F.expr("aggregate(zip_with(sig_x, sig_y, (a, b) -> if(a = b, 1, 0)), 0, (s, v) -> s + v)")
     likely = pairs.join(left, "x").join(right, "y").filter(agree >= MATCHES).select("x", "y")
-    full = likely.join(sets.select(F.col("rep").alias("x"), F.col("members").alias("set_x")), "x").join(sets.select(F.col("rep").alias("y"), F.col("members").alias("set_y")), "y")
-    return full.select("x", "y", "set_x", "set_y").mapInArrow(_confirm, "x long, y long")
+    full = likely.join(sets.select(F.col("node").alias("x"), F.col("members").alias("set_x")), "x").join(sets.select(F.col("node").alias("y"), F.col("members").alias("set_y")), "y")
+    return full.select("x", "y", "set_x", "set_y").mapInArrow(_confirm, "x binary, y binary")
 
 
-def _blockwise(members: DataFrame, families: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (x, y) between different components of a family, from full sets.
+def _blockwise(members: DataFrame, families: DataFrame, sigs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (x, y) between different components of a family.
 
     A family's largest component and the rest of its members are each dealt into blocks of about ``BLOCK`` by hash.
     The rest meets itself and the largest component, block by block; the largest is never compared with
     itself. So a large family that the hubs have joined costs its few other members times its size, in tasks of
     bounded size, and what a task returns is at most one link for each component it sees.
     """
-    placed = members.join(families, members.component == families.node).select("rep", members.component, families.component.alias("family"))
+    placed = members.join(families, members.component == families.node).select(members.node, members.component, families.component.alias("family"))
     sizes = placed.groupBy("family", "component").agg(F.count("*").alias("n"))
     totals = scratch.save(sizes.groupBy("family").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all")))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     placed = placed.join(totals, "family").select(
-        "family", "rep", "component", (F.col("component") == F.col("top.component")).alias("main"), blocks(F.col("top.n")).alias("mains"), blocks(F.col("all") - F.col("top.n")).alias("rests")
+        "family", "node", "component", (F.col("component") == F.col("top.component")).alias("main"), blocks(F.col("top.n")).alias("mains"), blocks(F.col("all") - F.col("top.n")).alias("rests")
     )
-    own = F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rests"))).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rests"))).cast("int")
     placed = placed.withColumn("own", own)
     # A task is a block of the rest against another of the rest (0 and up) or against one of the largest (-1 and down).
     meets = F.expr(
         "if(main, transform(sequence(0, rests - 1), r -> struct(r as one, -1 - own as two)), "
         "concat(transform(sequence(0, rests - 1), r -> struct(least(r, own) as one, greatest(r, own) as two)), transform(sequence(1, mains), m -> struct(own as one, -m as two))))"
     )
-    tasks = placed.select("family", "rep", "component", F.explode(meets).alias("task"))
-    tasks = tasks.join(sets, "rep").select("family", "task.one", "task.two", "rep", "component", "members")
-    return tasks.groupBy("family", "one", "two").applyInPandas(_links_in_block, "x long, y long")
+    tasks = placed.select("family", "node", "component", F.explode(meets).alias("task"))
+    signed = tasks.join(sigs, "node").select("family", "task.one", "task.two", "node", "component", "sig")
+    likely = scratch.save(signed.groupBy("family", "one", "two").applyInPandas(_collisions_in_block, "family binary, one int, two int, node binary, component binary"))
+    full = likely.join(sets, "node")
+    return full.groupBy("family", "one", "two").applyInPandas(_links_in_block, "x binary, y binary")
+
+
+def _collisions_in_block(block):
+    """The members of a block that agree with one of another component in MATCHES coordinates."""
+    sig = np.array(block["sig"].tolist(), np.int64)
+    component = np.unique(block["component"].to_numpy(), return_inverse=True)[1]
+    agree = np.zeros((len(sig), len(sig)), np.uint8)
+    for j in range(COORDINATES):
+        agree += sig[:, j, None] == sig[None, :, j]
+    good = ((agree >= MATCHES) & (component[:, None] != component[None, :])).any(1)
+    return block.loc[good, ["family", "one", "two", "node", "component"]]
 
 
 def _links_in_block(block):
     """At most one verified link between any two components in the block, and no more than join them."""
     import pandas as pd
 
-    block = block.drop_duplicates(["rep", "component"])
     parts = [np.frombuffer(m, np.uint64) for m in block["members"]]
-    rep, component = block["rep"].to_numpy(), block["component"].to_numpy()
+    node, component = block["node"].to_numpy(), np.unique(block["component"].to_numpy(), return_inverse=True)[1]
     size = np.array([p.size for p in parts])
     row = np.repeat(np.arange(len(parts)), size)
     value = np.concatenate(parts)
@@ -247,8 +287,8 @@ def _links_in_block(block):
         a, b = find(int(component[i])), find(int(component[j]))
         if a != b:
             root[a] = b
-            out.append((int(rep[i]), int(rep[j])))
-    return pd.DataFrame(out, columns=["x", "y"], dtype="int64")
+            out.append((node[i], node[j]))
+    return pd.DataFrame(out, columns=["x", "y"])
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,24 +297,36 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest of their component, all columns as they were.
-
-    Rows without a doc_id cannot be told apart by it and all stay.
+    """One document of each component, all columns as they were: that of the smallest doc_id.
 
-    A row that repeats a kept doc_id is a copy of it, so one such row stays.
+    A row is told apart by its doc_id and the fingerprint of its set. Where a doc_id (or its absence) is that of several rows, the
+    fingerprint decides, so rows that share an id but not their text are documents of their own; of rows that share both, one
+    stays. Rows without words are linked with nothing and all stay.
     """
     spark = docs.sparkSession
     scratch, kept = Scratch(spark, "neardup"), Scratch(spark, "kept")
-    ids = kept.save(near_duplicates(docs, scratch).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")))
+    signed, grouped = components(docs, scratch)
+    rows = signed.join(grouped, "fp", "left").withColumn("first", F.col("doc_id").eqNullSafe(F.coalesce("component", "doc_id")))
+    by_id = kept.save(rows.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("first").alias("first")))
+    single = by_id.filter("rows = 1 and first and doc_id is not null").select("doc_id")
+    several = by_id.filter("first and (rows > 1 or doc_id is null)").select("doc_id")
+    n = by_id.agg(F.count(F.when(F.col("rows") == 1, 1)), F.count(F.when(F.col("first") & ((F.col("rows") > 1) | F.col("doc_id").isNull()), 1))).first()
+    known = docs.withColumn("\x00id", F.col("doc_id").cast("long"))
+    out = known.join(F.broadcast(single) if n[0] <= BROADCAST_IDS else single, F.col("\x00id") == single.doc_id, "left_semi").drop("\x00id")
+    if n[1]:
+        # The fingerprints to keep under each of these ids: of a component, the least of those with its smallest doc_id.
+        of = rows.join(several, rows.doc_id.eqNullSafe(several.doc_id), "left_semi").filter("first and fp is not null")
+        marks = kept.save(of.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min(F.struct("fp")).alias("m"), F.min("doc_id").alias("id")).select("id", F.col("m.fp").alias("fp")))
+        ids = kept.save(several)
+        some = known.join(ids, F.col("\x00id").eqNullSafe(ids.doc_id), "left_semi")
+        row = some.select(F.struct(*docs.columns).alias("row"), F.col("\x00id").alias("id"), "text")
+        kind = row.schema["row"].dataType.simpleString()
+        printed = kept.save(row.mapInArrow(_fingerprints, f"row {kind}, id long, fp binary"))
+        blank = printed.filter("fp is null").select("row.*")
+        full = printed.join(marks, printed.fp.eqNullSafe(marks.fp) & printed.id.eqNullSafe(marks.id), "left_semi").dropDuplicates(["id", "fp"]).select("row.*")
+        out = out.unionByName(blank).unionByName(full)
     scratch.clear()
-    known, unknown = docs.filter("doc_id is not null"), docs.filter("doc_id is null")
-    wanted = ids.select("doc_id")
-    if ids.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    out = known.join(wanted, "doc_id", "left_semi")
-    if not ids.filter("rows > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(unknown).select(docs.columns)
+    return out.select(docs.columns)
 
 
 OP1_SQL = r"""

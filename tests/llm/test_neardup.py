@@ -95,7 +95,42 @@ def test_awkward_rows(spark):
     assert answer(neardup.near_duplicates(frame)) == brute(rows)
     kept = neardup.one_of_each(frame)
     assert kept.columns == frame.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([1, 2, 3, 4, None, 5, 6, 7], key=repr)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 5, 6, 7]  # the row without an id is a copy of 4
+
+
+def test_rows_that_share_an_id_but_not_their_text(spark):
+    base = prose(60, 3, 9000)
+    texts = [" ".join(base), " ".join(prose(60, 4, 9000)), "quite another text here", None, "", " ".join(base[:-1]), "with no id", "with no id", "nor this one"]
+    ids = [5, 5, 5, 5, 5, 3, None, None, None]
+    rows = list(zip(ids, texts, strict=True))
+    # the first is a near-duplicate of 3's only text, and goes; of the rest only the repeated row does
+    want = sorted([*rows[1:6], rows[6], rows[8]], key=repr)
+    got = sorted(((r.doc_id, r.text) for r in neardup.one_of_each(docs(spark, rows)).collect()), key=repr)
+    assert got == want
+    again = rows + [(5, texts[1]), (7, texts[1])]
+    assert sorted(((r.doc_id, r.text) for r in neardup.one_of_each(docs(spark, again)).collect()), key=repr) == want
+
+
+def test_links_do_not_depend_on_which_text_of_an_id_comes_first(spark):
+    a, b = prose(100, 11, 9000), prose(100, 12, 9000)
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(a[:-2])), (3, " ".join(b[:-2]))]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {(1, 96, 1), (2, 94, 1), (3, 94, 1)}
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of similarity just over 0.85, each on its own: none is missed."""
+    rows = []
+    for k in range(300):
+        w = prose(220, 1000 + k, 10**6)
+        v = list(w)
+        for at in (20, 70, 120)[: 2 + k % 2]:  # five shingles each: 0.91 or 0.87
+            v[at] = f"other{k}"
+        v = v if k % 2 else v[:-8]  # 0.88 ... 0.87
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, rows)).collect()}
+    linked = [k for k in range(300) if 100 * len(shingles(rows[2 * k][1]) & shingles(rows[2 * k + 1][1])) >= 85 * len(shingles(rows[2 * k][1]) | shingles(rows[2 * k + 1][1]))]
+    assert len(linked) == 300 and all(got[2 * k + 1] == 2 * k for k in linked)
 
 
 def test_empty_table(spark):
