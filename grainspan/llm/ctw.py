@@ -14,9 +14,9 @@ then by key. The trees of all contexts that end in the same two bytes are built
 a number of distinct strings and not of occurrences; depths 1 and 0 are built from their sums, at most 65,535
 rows.
 
-Scoring needs the model beside every text. The model is cut into blocks by the byte before the predicted
-one, each of at most ``BLOCK_ROWS`` rows (some 150 MB of memory); texts are scanned once for each block and
-the partial sums added, so that a model of any size is used whole and memory stays bounded.
+Scoring needs the model beside every text. The model is cut into blocks by the two bytes before the predicted
+one, each of at most ``BLOCK_ROWS`` rows (some 100 MB of memory) or of one such pair of bytes; texts are scanned once for each block and
+the partial sums added, so that a model of any size is used whole. All probabilities are doubles.
 
 The word baseline works likewise: counts of all distinct training words, in blocks of 64-bit hashes.
 
@@ -41,7 +41,7 @@ from .textkit import LOWER, runs, word_hashes
 DEPTH = 5
 END = 0xFF
 #: Rows of one block of the model.
-BLOCK_ROWS = 10_000_000
+BLOCK_ROWS = 6_000_000
 #: Distinct strings that a task holds before it passes them on.
 HELD = 1_000_000
 SCAN_BYTES = 1 << 20
@@ -214,14 +214,14 @@ def turn_back(x: np.ndarray, depth: int) -> np.ndarray:
 
 
 class Model:
-    """A block of the model as sorted arrays, for contexts whose last byte is in ``last`` (None: any).
+    """A block of the model as sorted arrays, for contexts whose last two bytes are in ``ends`` (None: any).
 
     ``gram`` and ``cost`` hold the strings seen and their log10 probabilities; ``nodes`` has, by depth, nodes and
     the probability of a one there. All but the nodes at depths 0 and 1 are turned.
     """
 
-    def __init__(self, gram: np.ndarray, cost: np.ndarray, nodes: list, depth: int = DEPTH, last: np.ndarray | None = None):
-        self.gram, self.cost, self.nodes, self.depth, self.last = gram, cost, nodes, depth, last
+    def __init__(self, gram: np.ndarray, cost: np.ndarray, nodes: list, depth: int = DEPTH, ends: np.ndarray | None = None):
+        self.gram, self.cost, self.nodes, self.depth, self.ends = gram, cost, nodes, depth, ends
 
     def costs(self, turned: np.ndarray) -> np.ndarray:
         """log10 probabilities of distinct turned strings, sorted."""
@@ -260,8 +260,8 @@ class Model:
         """log10 probability of each document, as far as this block gives it."""
         keys, begin = grams(data, offsets, self.depth)
         each = np.zeros(keys.size)
-        mine = np.arange(keys.size) if self.last is None else np.flatnonzero(self.last[((keys >> _U(8)) & _U(255)).astype(np.int64)])
-        keys = turn(keys if self.last is None else keys[mine], self.depth)
+        mine = np.arange(keys.size) if self.ends is None else np.flatnonzero(self.ends[((keys >> _U(8)) & _U(0xFFFF)).astype(np.int64)])
+        keys = turn(keys if self.ends is None else keys[mine], self.depth)
         order = np.argsort(keys)
         ordered = keys[order]
         new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if ordered.size else np.zeros(0, bool)
@@ -330,7 +330,7 @@ def _finished(pdf: pd.DataFrame, top: Top) -> pd.DataFrame:
     rows = []
     for d, k, v in parts:
         order = np.argsort(k)
-        rows.append((end, d, len(k), k[order].tobytes(), v[order].astype(np.float32).tobytes()))
+        rows.append((end, d, len(k), k[order].tobytes(), v[order].tobytes()))
     return pd.DataFrame(rows, columns=["end", "d", "rows", "keys", "vals"])
 
 
@@ -380,30 +380,27 @@ def _packed(rows: DataFrame, sizes: list) -> dict[int, tuple[np.ndarray, np.ndar
         of = sorted((r.end, r.rows) for r in sizes if r.d == d)
         edge = np.concatenate([[0], np.cumsum([n for _, n in of])]).tolist()
         place |= {(e, d): i for (e, _), i in zip(of, edge, strict=False)}
-        out[d] = (np.empty(edge[-1], _U), np.empty(edge[-1], np.float32))
+        out[d] = (np.empty(edge[-1], _U), np.empty(edge[-1]))
     for r in rows.toLocalIterator():
         at = place[r.end, r.d]
         out[r.d][0][at : at + r.rows] = np.frombuffer(r["keys"], _U)
-        out[r.d][1][at : at + r.rows] = np.frombuffer(r["vals"], np.float32)
+        out[r.d][1][at : at + r.rows] = np.frombuffer(r["vals"], np.float64)
     return out
 
 
-def _tree_blocks(sizes: list, limit: int) -> list[np.ndarray]:
-    """Which last bytes go into each block."""
-    by_last = np.zeros(256, np.int64)
+def _tree_blocks(sizes: list, limit: int) -> list[tuple[int, int]]:
+    """Ranges (first, last) of two-byte ends, one for each block; together they are all ends, so that contexts which nobody
+    saw cost what they cost in just one block."""
+    by_end = np.zeros(1 << 16, np.int64)
     for r in sizes:
-        by_last[r.end & 255] += r.rows
-    blocks, size = [np.zeros(256, bool)], 0
-    for last in np.flatnonzero(by_last).tolist():
-        if size and size + by_last[last] > limit:
-            blocks.append(np.zeros(256, bool))
+        by_end[r.end] += r.rows
+    starts, size = [0], 0
+    for end in np.flatnonzero(by_end).tolist():
+        if size and size + by_end[end] > limit:
+            starts.append(end)
             size = 0
-        blocks[-1][last] = True
-        size += by_last[last]
-    if len(blocks) == 1:
-        return blocks
-    blocks[0][by_last == 0] = True  # contexts that nobody saw cost the same anywhere, once
-    return blocks
+        size += by_end[end]
+    return list(zip(starts, [*(x - 1 for x in starts[1:]), (1 << 16) - 1], strict=True))
 
 
 def _word_ranges(v: int, limit: int) -> list[tuple[int, int | None]]:
@@ -451,18 +448,21 @@ def scored(docs: DataFrame, limit: int = BLOCK_ROWS) -> DataFrame:
     sizes = model.select("end", "d", "rows").collect()  # at most 65,536 groups of DEPTH rows
     trees, ranges = _tree_blocks(sizes, limit), _word_ranges(v, limit)
     passes = max(len(trees), len(ranges))
-    numbered = docs.select(F.monotonically_increasing_id().alias("k"), "text") if passes > 1 else None
+    # Several passes meet by row numbers that a table in the shared folder fixes.
+    numbered = scratch.save(docs.select(F.monotonically_increasing_id().alias("k"), "doc_id", "text")) if passes > 1 else None
     parts = []
     for i in range(passes):
         tree = word = None
         if i < len(trees):
-            mine = set(np.flatnonzero(trees[i]).tolist())
-            rows = model if len(trees) == 1 else model.filter(F.col("end").bitwiseAND(F.lit(255)).isin(sorted(mine)))
-            got = _packed(rows, [r for r in sizes if r.end & 255 in mine or len(trees) == 1])
+            lo, hi = trees[i]
+            rows = model.filter(F.col("end").between(lo, hi)) if len(trees) > 1 else model
+            got = _packed(rows, [r for r in sizes if lo <= r.end <= hi])
             del rows
-            none = (np.zeros(0, _U), np.zeros(0, np.float32))
+            none = (np.zeros(0, _U), np.zeros(0))
             levels = [(top.node0, top.p0), (top.node1, top.p1), *(got.get(d, none) for d in range(2, DEPTH + 1))]
-            tree = Model(*got.get(-1, none), levels, DEPTH, trees[i] if len(trees) > 1 else None)
+            ends = np.zeros(1 << 16, bool)
+            ends[lo : hi + 1] = True
+            tree = Model(*got.get(-1, none), levels, DEPTH, ends if len(trees) > 1 else None)
         if i < len(ranges):
             word = Words(*_packed_range(_in_range(words, *ranges[i])), *ranges[i], n_train, v)
         shared = spark.sparkContext.broadcast((tree, word))
@@ -484,7 +484,7 @@ def scored(docs: DataFrame, limit: int = BLOCK_ROWS) -> DataFrame:
             kind = docs.schema["doc_id"].dataType.simpleString()
             out = docs.mapInArrow(run, f"k {kind}, {rows}").withColumnRenamed("k", "doc_id")
         else:
-            part = scratch.save(numbered.mapInArrow(run, f"k long, {rows}"))
+            part = scratch.save(numbered.select("k", "text").mapInArrow(run, f"k long, {rows}"))
             parts.append(part)
             shared.destroy()
     if passes > 1:
@@ -492,7 +492,7 @@ def scored(docs: DataFrame, limit: int = BLOCK_ROWS) -> DataFrame:
         for p in parts[1:]:
             every = every.unionByName(p)
         sums = every.groupBy("k").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
-        out = docs.select(F.monotonically_increasing_id().alias("k"), "doc_id").join(sums, "k").drop("k")
+        out = numbered.select("k", "doc_id").join(sums, "k").drop("k")
     return out.select("doc_id", (~training(F.col("doc_id"))).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
 
 
