@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .components import connected
 from .scratch import Scratch, table
@@ -320,8 +321,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         ids = kept.save(several)
         some = known.join(ids, F.col("\x00id").eqNullSafe(ids.doc_id), "left_semi")
         row = some.select(F.struct(*docs.columns).alias("row"), F.col("\x00id").alias("id"), "text")
-        kind = row.schema["row"].dataType.simpleString()
-        printed = kept.save(row.mapInArrow(_fingerprints, f"row {kind}, id long, fp binary"))
+        printed = kept.save(row.mapInArrow(_fingerprints, StructType([*row.schema.fields[:2], StructField("fp", BinaryType())])))
         blank = printed.filter("fp is null").select("row.*")
         full = printed.join(marks, printed.fp.eqNullSafe(marks.fp) & printed.id.eqNullSafe(marks.id), "left_semi").dropDuplicates(["id", "fp"]).select("row.*")
         out = out.unionByName(blank).unionByName(full)

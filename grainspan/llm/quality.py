@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .docstats import NAMES, statistics, with_statistics
 from .scratch import Scratch, table
@@ -163,19 +164,19 @@ def fit(labelled: DataFrame) -> Model:
     return model
 
 
-def learnt(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
-    """The model, and doc_id and stats of each row of ``docs``."""
-    stats = scratch.save(with_statistics(docs))
+def learnt(stats: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
+    """The model, from doc_id and stats of all documents."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label"))
     marked = marked.filter((bucket(F.col("doc_id"), 4) != 2) & F.col("label").isin(0, 1))
     fold = F.floor(bucket(F.col("doc_id"), 4 * FOLDS) / 4).cast("long")
-    labelled = scratch.save(stats.join(marked, "doc_id").select("stats", "label", fold.alias("fold")))
-    return fit(labelled), stats
+    return fit(scratch.save(stats.join(marked, "doc_id").select("stats", "label", fold.alias("fold"))))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of ``docs``; learns from ``labels`` (doc_id, quality)."""
-    model, stats = learnt(docs, labels, Scratch(docs.sparkSession, "quality"))
+    scratch = Scratch(docs.sparkSession, "quality")
+    stats = scratch.save(with_statistics(docs))
+    model = learnt(stats, labels, scratch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,15 +194,25 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject, all columns as they were.
 
-    A second scan scores the texts where they are, so that no text is shuffled or written.
+    One scan works out the statistics and writes them beside their rows; rows are then picked by them, so that no text is
+    shuffled or scanned for statistics again.
     """
-    model, _ = learnt(docs, labels, Scratch(docs.sparkSession, "accepted"))
+    scratch = Scratch(docs.sparkSession, "accepted")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [model.score(statistics(data, offsets)) >= THRESHOLD for _, _, data, offsets in runs(batch.column(at))]
-            if good:
-                yield batch.filter(pa.array(np.concatenate(good)))
+            for a, b, data, offsets in runs(batch.column(0).field(at)):
+                stats = statistics(data, offsets)
+                where = pa.array(np.arange(0, stats.size + 1, len(NAMES), dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(where, pa.array(stats.ravel()))], ["row", "stats"])
+
+    fixed = scratch.save(rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("stats", ArrayType(DoubleType()))])))
+    model = learnt(fixed.select(F.col("row.doc_id").cast("long").alias("doc_id"), "stats"), labels, scratch)
+
+    @F.arrow_udf(returnType=DoubleType())
+    def score(stats: pa.Array) -> pa.Array:
+        return pa.array(model.score(matrix(stats)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return fixed.filter(score("stats") >= THRESHOLD).select("row.*")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,12 +27,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-_roots: dict[int, list] = {}
+_made = threading.local()
 
 
-def made_so_far(spark: SparkSession) -> list:
-    """All scratch folders of the session, in the order in which they were made."""
-    return list(_roots.get(id(spark.sparkContext), []))
+@contextlib.contextmanager
+def collecting() -> Iterator[list]:
+    """A list that gets all scratch folders which this thread makes meanwhile, so that who runs an operator can clear them."""
+    outer, _made.now = getattr(_made, "now", None), []
+    try:
+        yield _made.now
+    finally:
+        if outer is not None:
+            outer.extend(_made.now)
+        _made.now = outer
 
 
 class Scratch:
@@ -43,7 +53,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
-        _roots.setdefault(id(spark.sparkContext), []).append(self)
+        if getattr(_made, "now", None) is not None:
+            _made.now.append(self)
         atexit.register(self._quiet_drop, self.root)
 
     def save(self, df: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ in the order of the curve. Ties on the curve go by text_crc32, size and doc_id,
 metadata stand together, and a hot source or group of copies is split wherever a cut falls; it never sits
 in one task, since ranges are cut by the whole key.
 
-The rank takes one range exchange of the metadata (never of the texts): rows are sorted within ranges
-and written with the row number Spark gives them in their range; the ranges' counts (one row a
+The rank takes one range exchange of the metadata (of whole rows where these are asked for, which is then the only time that texts
+move): rows are sorted within ranges and written with the row number Spark gives them in their range; the ranges' counts (one row a
 range, a number set by configuration) give the offsets. A re-run of a lost task reads the written rows, so
 ranks do not change under it.
 
@@ -80,19 +80,20 @@ def curve_index(bits: int = BITS, n: int = DIMENSIONS) -> str:
     return " + ".join(f"((x{i} div {1 << b}) % 2) * {1 << (b * n + n - 1 - i)}" for b in range(bits) for i in range(n))
 
 
-def metadata(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and curve of each row."""
+def metadata(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, size, text_crc32 and curve of each row; ``more`` may be a column row that is carried along."""
     out = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
         name_level(F.col("source")).alias("x0"),
         name_level(F.col("lang")).alias("x1"),
+        *more,
     ).withColumn("x2", size_level(F.col("size")))
     spark_sql = lambda e: _infix_xor(e)
     for step in curve_steps():
         out = out.withColumns({name: F.expr(spark_sql(e)) for name, e in step})
-    return out.select("doc_id", "size", "text_crc32", F.expr(curve_index()).cast("int").alias("curve"))
+    return out.select("doc_id", "size", "text_crc32", F.expr(curve_index()).cast("int").alias("curve"), *(["row"] if more else []))
 
 
 def _infix_xor(e: str) -> str:
@@ -108,12 +109,13 @@ def _infix_xor(e: str) -> str:
     return e
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, curve, shard and slot of each row of ``docs`` (doc_id, text, lang, source)."""
+def sharded(docs: DataFrame, shards: int = SHARDS, row: Column | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, curve, shard and slot of each row of ``docs`` (doc_id, text, lang, source), and ``row`` if one is given."""
     scratch = Scratch(docs.sparkSession, "sharding")
     ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    more = [] if row is None else [row.alias("row")]
     placed = scratch.save(
-        metadata(docs).repartitionByRange(ranges, *ORDER).sortWithinPartitions(*ORDER).withColumn("mid", F.monotonically_increasing_id())
+        metadata(docs, *more).repartitionByRange(ranges, *ORDER).sortWithinPartitions(*ORDER).withColumn("mid", F.monotonically_increasing_id())
     )
     placed = placed.withColumns({"part": F.shiftright("mid", 33), "nth": F.col("mid").bitwiseAND(F.lit((1 << 33) - 1))})
     counts = placed.groupBy("part").agg(F.count("*").alias("n"))
@@ -126,7 +128,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     cut = ranked.withColumn("shard", F.expr(f"cast((rank * {shards}) div total as int)"))
     # The first rank of a shard is the least r with r * shards >= shard * total.
     return cut.select(
-        "doc_id", "size", "text_crc32", "curve", "shard", F.expr(f"rank - (cast(shard as bigint) * total + {shards - 1}) div {shards}").alias("slot")
+        "doc_id", "size", "text_crc32", "curve", "shard", F.expr(f"rank - (cast(shard as bigint) * total + {shards - 1}) div {shards}").alias("slot"), *(["row"] if more else [])
     )
 
 
@@ -137,24 +139,20 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Writes the documents, with their shard and slot, in a folder for each shard, sorted along the curve.
+    """Writes the documents, with their shard and slot, in a folder for each shard, each file sorted along the curve.
 
-    Texts move once, straight to the range of their shard and slot. Rows are paired with their places by all of
-    their key, and rows with equal keys are dealt their places in any order.
+    The rows of ``with_places`` stand in the order of the curve already, so they are written where they are.
     """
-    with_places(docs, shards).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    with_places(docs, shards).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def with_places(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """All columns of the documents, then shard and slot (further columns of those names are replaced).
 
-    A row and its place meet by a row number that a table in the shared folder fixes, so null and repeated
-    ids need no special case.
+    Whole rows take the one range exchange, so texts move once, and a row never has to be found again by its id.
     """
     names = [c for c in docs.columns if c not in ("shard", "slot")]
-    fixed = Scratch(docs.sparkSession, "numbered").save(docs.select(F.monotonically_increasing_id().alias("doc_id"), F.struct(*names).alias("row")))
-    places = sharded(fixed.select("doc_id", "row.text", "row.lang", "row.source"), shards)
-    return fixed.join(places.select("doc_id", "shard", "slot"), "doc_id").select("row.*", "shard", "slot")
+    return sharded(docs, shards, F.struct(*names)).select("row.*", "shard", "slot")
 
 
 def _crc32_sql(column: str) -> str:
