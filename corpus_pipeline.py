@@ -1,71 +1,38 @@
 """A corpus from raw documents: quality, near-duplicates, decontamination, mixing, shards.
 
 Each stage works on all that the stage before kept, which is written as Parquet to the shared folder and read
-again, so a lost executor repeats no earlier stage.
+again, so a lost executor repeats no earlier stage. A run owns its tables: it removes those of a stage once the stage's rows are
+written, and never those of another run.
 """
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 
 from grainspan.llm import decontaminate, mixing, neardup, quality, sharding
-from grainspan.llm.scratch import Scratch, made_so_far, table
-
-_left: list[Scratch] = []
-
-
-def _begin(spark: SparkSession) -> None:
-    """Removes the tables of the stage before, whose rows are written by now."""
-    while _left:
-        _left.pop().clear()
-
-
-def _end(spark: SparkSession, before: list[Scratch]) -> None:
-    known = {id(s) for s in before}
-    _left.extend(s for s in made_so_far(spark) if id(s) not in known)
-
-
-def stage(f):
-    """A stage that cleans up after the one before."""
-
-    @functools.wraps(f)
-    def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        _begin(spark)
-        before = made_so_far(spark)
-        out = f(spark, docs, sf_dir)
-        _end(spark, before)
-        return out
-
-    return staged
+from grainspan.llm.scratch import Scratch, collecting, table
 
 
-@stage
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
-@stage
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     return neardup.one_of_each(docs)
 
 
-@stage
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any passage of the benchmark."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
-@stage
 def to_target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rate towards the target weights says."""
-    return mixing.mixed(docs, table(spark, sf_dir, "labels"))
+    """Documents as often as their rate towards the target weights says: plain ones once, toxic ones down to their target."""
+    return mixing.mixed(docs, table(spark, sf_dir, "labels"), mixing.FILTERED_TARGETS, domain=mixing.FILTERED_DOMAIN)
 
 
-@stage
 def in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with shard and slot."""
     return sharding.with_places(docs)
@@ -87,10 +54,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for name, work in STAGES:
-        before, docs = docs, work(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = scratch.save(docs)
-            if hasattr(before, "scratch_path"):
-                scratch.drop(before)
-    return docs
+    for k, (_, work) in enumerate(STAGES[:-1]):
+        before = docs
+        with collecting() as made:
+            docs = scratch.save(work(spark, docs, sf_dir))
+        for s in made:
+            s.clear()
+        if k:
+            scratch.drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
