@@ -94,3 +94,19 @@ def jobs(spark, channels: int, of: Sequence[Run]) -> DataFrame:
     out = out.select("channel", "radius_idx", "radius", "npoints", (F.col("npoints") + 2).alias("nfeatures"), (F.col("channel") * per + F.col("feature_offset")).cast("int").alias("output_offset"), F.lit(channels * per).alias("total_nfeatures"))
     order = Window.orderBy(F.desc("radius"), F.desc("channel"), F.desc("radius_idx"))  # channels * runs rows
     return out.withColumn("job_rank", F.row_number().over(order))
+
+
+def incomplete(jobs: DataFrame) -> DataFrame:
+    """n_jobs and n_incomplete: rows, and those with a null in any column."""
+    some = F.lit(False)
+    for c in jobs.columns:
+        some = some | F.col(c).isNull()
+    return jobs.agg(F.count("*").alias("n_jobs"), F.count_if(some).alias("n_incomplete"))
+
+
+def check_complete(jobs: DataFrame) -> DataFrame:
+    """The job table; an error if a job lacks a value."""
+    bad = incomplete(jobs).first()["n_incomplete"]
+    if bad:
+        raise ValueError(f"{bad} jobs lack a value")
+    return jobs

@@ -1,7 +1,7 @@
-"""Circular local binary patterns as a relational plan, for images up to ``PLANE_PIXELS`` pixels a channel.
+"""Circular local binary patterns: a relational plan for tables of up to ``PLANE_PIXELS`` pixels, and the tile plan for all others.
 
 A pixel meets its P neighbour points in one explode; the four corners of a point are looked up in the plane's array,
-which is broadcast only below that bound (larger images take the tile plan, ``grainspan.operators.tiles``). All points of a pixel stand
+which is broadcast only below that bound, all images and channels together (more take the tile plan, ``grainspan.operators.tiles``). All points of a pixel stand
 together, so the aggregation reduces them before the shuffle to one row a pixel.
 
 The bilinear value is taken from absolute coordinates and in one fixed order, two horizontal steps and then the
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.params import Run, offsets
 from .masks import with_patch
+from .tiles import EDGE, edge_of, halo_of, included_by_tile, pixel_codes, tiles_of_pixels
 
 PLANE_PIXELS = 1 << 22
 #: Ones of a pixel are packed in a 64-bit integer; more points take the tile plan.
@@ -27,9 +28,9 @@ PIXEL = ("image_id", "channel", "r", "c")
 
 def planes(pixels: DataFrame) -> DataFrame:
     """image_id, channel, h, w and flat (row after row) of each plane."""
-    size = pixels.groupBy("image_id", "channel").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    size = pixels.count()
     if size > PLANE_PIXELS:
-        raise ValueError(f"a plane has {size} pixels, the relational plan takes {PLANE_PIXELS}; use the tile plan")
+        raise ValueError(f"there are {size} pixels, the relational plan takes {PLANE_PIXELS}; use the tile plan")
     cells = F.array_sort(F.collect_list(F.struct("r", "c", "v")))
     return pixels.groupBy("image_id", "channel").agg(
         (F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"), F.transform(cells, lambda x: x.v).alias("flat")
@@ -88,23 +89,52 @@ def code_of(of: Sequence[Run], method: str) -> Column:
 
 
 def check(of: Sequence[Run], method: str) -> str:
+    """The method's name. Codes of ``default`` and ``ror`` have a bit for each point, at most 31."""
     method = method.lower()
     if method not in METHODS:
         raise KeyError(method)
-    most = {"default": 31, "ror": 31}.get(method, PACKED_POINTS)
-    if method != "var" and any(r.npoints > most for r in of):
-        raise ValueError(f"the relational plan takes at most {most} points for {method!r}")
+    if method in ("default", "ror") and any(r.npoints > 31 for r in of):
+        raise ValueError(f"{method!r} takes at most 31 points")
     return method
 
 
-def lbp_codes(pixels: DataFrame, of: Sequence[Run], method: str = "uniform", mask: DataFrame | None = None, patch_mask: DataFrame | None = None, patch_size: int | None = None) -> DataFrame:
+def _tiled(pixels: DataFrame, of: Sequence[Run], method: str, mask: DataFrame | None, patch_mask: DataFrame | None, patch_size: int | None, edge: int) -> DataFrame:
+    sizes = pixels.groupBy("image_id").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))
+    side = edge_of(patch_size or 1, edge)
+    tiles = tiles_of_pixels(pixels, sizes, side, halo_of(of))
+    keys = ["image_id", "r0", "c0"]
+    if mask is None and patch_mask is None:
+        return pixel_codes(tiles, of, method)
+    on, patches = F.lit(None).cast("binary").alias("on"), F.lit(None).cast("array<struct<patch_r:int,patch_c:int,edge:int>>").alias("patches")
+    if mask is not None:
+        if patch_mask is not None:
+            raise ValueError("one mask at a time")
+        flags = mask.select("image_id", F.lit(0).alias("channel"), "r", "c", (F.col("m") != 0).cast("int").alias("v"))
+        gates = tiles_of_pixels(flags, sizes, side, 0).select(*keys, F.col("data").alias("on"), patches)
+    else:
+        gates = included_by_tile(patch_mask, side, patch_size).select(*keys, on, "patches")
+    tiles = tiles.join(gates, keys, "left").select(*tiles.columns, "on", "patches").withColumn("gate", F.lit(True))
+    return pixel_codes(tiles, of, method)
+
+
+def lbp_codes(pixels: DataFrame, of: Sequence[Run], method: str = "uniform", mask: DataFrame | None = None, patch_mask: DataFrame | None = None, patch_size: int | None = None, plan: str = "auto", edge: int = EDGE) -> DataFrame:
     """image_id, channel, radius_idx, r, c and code of every pixel.
 
+    ``plan`` is "native", "tiled" or "auto" (by the number of pixels and points); both give the same codes.
+
     ``mask`` (image_id, r, c, m): only pixels with m <> 0 are computed, others have code 0 but remain neighbours. ``patch_mask``
     (image_id, patch_r, patch_c, included) does the same by whole patches of ``patch_size``. The variance method has a
     double, NaN where it is exactly 0.
     """
     method = check(of, method)
+    if plan not in ("auto", "native", "tiled"):
+        raise ValueError(f"unknown plan {plan!r}")
+    if plan == "auto":
+        plan = "native" if all(r.npoints <= PACKED_POINTS for r in of) and pixels.count() <= PLANE_PIXELS else "tiled"
+    if plan == "tiled":
+        return _tiled(pixels, of, method, mask, patch_mask, patch_size, edge)
+    if any(r.npoints > PACKED_POINTS for r in of):
+        raise ValueError(f"the relational plan takes at most {PACKED_POINTS} points")
     centres = pixels
     if mask is not None:
         centres = centres.join(mask.filter("m <> 0").select("image_id", "r", "c"), ["image_id", "r", "c"], "left_semi").select(pixels.columns)

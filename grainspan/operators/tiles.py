@@ -1,8 +1,8 @@
-"""The tile plan: image tiles with a halo, and one Arrow kernel that turns a tile into patch histograms.
+"""The tile plan: image tiles with a halo, and Arrow kernels that turn a tile into patch histograms or codes of pixels.
 
 A tile is a record of a few hundred KB with absolute coordinates, so an image of any size is dealt over all tasks, each tile is
 read once for all runs, and memory is bounded by the tile. Masked tiles are dropped before the kernel. Nothing is
-shuffled after it: a tile's edges are multiples of the patch, so each patch is finished where it is.
+shuffled after it: a tile's edges are multiples of the patch, so each patch is finished where it is, zeros included.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def halo_of(of: Sequence[Run]) -> int:
 
 def tiles_of_pixels(pixels: DataFrame, sizes: DataFrame, edge: int, halo: int) -> DataFrame:
     """Tiles of a pixel table. A pixel goes to its tile and to those whose halo it is in; positions outside of the image are 0."""
-    at = pixels.join(F.broadcast(sizes), "image_id").filter("v <> 0 or (r % {0} = 0 and c % {0} = 0)".format(edge))
+    at = pixels.join(sizes, "image_id").filter("v <> 0 or (r % {0} = 0 and c % {0} = 0)".format(edge))
     span = lambda x, size: F.expr(f"sequence(greatest(0, ({x} - {halo}) div {edge} - if({x} < {halo}, 1, 0)), least(({size} - 1) div {edge}, ({x} + {halo}) div {edge}))")
     at = at.select("image_id", "channel", "r", "c", "v", "h", "w", F.explode(span("r", "h")).alias("tr"), span("c", "w").alias("tcs"))
     at = at.select("image_id", "channel", "r", "c", "v", "h", "w", "tr", F.explode("tcs").alias("tc"))
@@ -101,18 +101,14 @@ def tiles_of_bands(bands: DataFrame, edge: int, halo: int) -> DataFrame:
     return grouped.mapInArrow(join, TILE)
 
 
-def uniform_codes(data: np.ndarray, r0: int, c0: int, th: int, tw: int, halo: int, run: Run) -> np.ndarray:
-    """Uniform codes of a tile's own pixels, memory of a few tiles for any number of points.
+def point_values(data: np.ndarray, r0: int, c0: int, th: int, tw: int, halo: int, run: Run) -> Iterator[np.ndarray]:
+    """The bilinear values of each point, in order, for all of a tile's own pixels.
 
     Horizontal values are taken once for each row and then mixed down the rows: the same products and sums in the same
     order as for a single pixel.
     """
     image = data.astype(np.float64)
-    centre = image[halo : halo + th, halo : halo + tw]
     r, c = np.arange(r0, r0 + th, dtype=np.float64), np.arange(c0, c0 + tw, dtype=np.float64)
-    ones = np.zeros((th, tw), np.int32)
-    changes = np.zeros((th, tw), np.int32)
-    before = None
     for dy, dx in offsets(run):
         y, x = r + dy, c + dx
         y0, x0 = np.floor(y), np.floor(x)
@@ -122,17 +118,109 @@ def uniform_codes(data: np.ndarray, r0: int, c0: int, th: int, tw: int, halo: in
         lo, hi = up.min(), down.max() + 1
         rows = image[lo:hi]
         across = (1 - b) * rows[:, left] + b * rows[:, right]
-        t = (1 - a) * across[up - lo] + a * across[down - lo]
+        yield (1 - a) * across[up - lo] + a * across[down - lo]
+
+
+def tile_codes(data: np.ndarray, r0: int, c0: int, th: int, tw: int, halo: int, run: Run, method: str = "uniform") -> np.ndarray:
+    """Codes of a tile's own pixels, in memory of a few tiles for any number of points."""
+    values = point_values(data, r0, c0, th, tw, halo, run)
+    n = run.npoints
+    if method == "var":
+        total, squares = np.zeros((th, tw)), np.zeros((th, tw))
+        for t in values:
+            total += t
+            squares += t * t
+        out = (squares - total * total / n) / n
+        out[out == 0] = np.nan
+        return out
+    centre = data[halo : halo + th, halo : halo + tw].astype(np.float64)
+    ones, changes = np.zeros((th, tw), np.int32), np.zeros((th, tw), np.int32)
+    bits = np.zeros((th, tw), np.int64)
+    first = np.full((2, th, tw), n, np.int32)  # of the first point that is 0, and that is 1
+    before = starts = None
+    for i, t in enumerate(values):
         s = t - centre >= 0
         ones += s
-        if before is not None:
+        if method in ("default", "ror"):
+            bits |= s.astype(np.int64) << i
+        elif method == "nri_uniform":
+            for bit in (0, 1):
+                np.minimum(first[bit], np.where(s == bool(bit), i, n), out=first[bit])
+        if before is None:
+            starts = s
+        else:
             changes += s != before
         before = s
-    return np.where(changes <= 2, ones, run.npoints + 1)
+    if method == "default":
+        return bits
+    if method == "ror":
+        least = bits.copy()
+        for _ in range(n - 1):
+            bits = (bits >> 1) | ((bits & 1) << (n - 1))
+            np.minimum(least, bits, out=least)
+        return least
+    if method == "uniform":
+        return np.where(changes <= 2, ones, n + 1)
+    turn = np.where(starts, ones - first[0], n - first[1])
+    out = np.where(changes > 2, n * (n - 1) + 2, 1 + (ones - 1) * n + turn)
+    return np.where(ones == 0, 0, np.where(ones == n, n * (n - 1) + 1, out))
+
+
+#: Types of the codes by method, in SQL.
+CODE = {"default": "bigint", "ror": "bigint", "uniform": "int", "nri_uniform": "int", "var": "double"}
+
+
+def pixel_codes(tiles: DataFrame, of: Sequence[Run], method: str = "uniform") -> DataFrame:
+    """image_id, channel, radius_idx, r, c and code of every pixel.
+
+    Tiles may have ``gate``, whether masks apply, ``on``, one byte a pixel, and ``patches``, included patches of ``edge`` pixels
+    (patch_r, patch_c, edge): other pixels have code 0, and a tile without any is not computed.
+    """
+    gated = "gate" in tiles.columns
+    if gated:
+        tiles = tiles.select(*[f.split()[0] for f in TILE.split(", ")], "on", "patches")
+    kind = {"bigint": np.int64, "int": np.int32, "double": np.float64}[CODE[method]]
+
+    def allowed(batch: pa.RecordBatch, k: int, r0: int, c0: int, th: int, tw: int) -> np.ndarray | None:
+        if not gated:
+            return None
+        out = np.zeros((th, tw), bool)
+        if batch.column(10)[k].is_valid:
+            out = np.frombuffer(batch.column(10)[k].as_buffer(), np.uint8).reshape(th, tw) != 0
+        elif batch.column(11)[k].is_valid:
+            for p in batch.column(11)[k].as_py():
+                a, b, e = p["patch_r"] * p["edge"] - r0, p["patch_c"] * p["edge"] - c0, p["edge"]
+                out[a : a + e, b : b + e] = True
+        return out
+
+    def run_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                image, channel, r0, c0, th, tw, halo, h, w = (batch.column(j)[k].as_py() for j in range(9))
+                data = np.frombuffer(batch.column(9)[k].as_buffer(), np.uint8).reshape(th + 2 * halo, tw + 2 * halo)
+                on = allowed(batch, k, r0, c0, th, tw)
+                rows, cols = (x.ravel().astype(np.int32) for x in np.mgrid[r0 : r0 + th, c0 : c0 + tw])
+                n = rows.size
+                for run in of:
+                    if on is not None and not on.any():
+                        codes = np.zeros(n, kind)
+                    else:
+                        codes = tile_codes(data, r0, c0, th, tw, halo, run, method).astype(kind)
+                        codes = (codes if on is None else np.where(on, codes, kind(0))).ravel()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([image] * n, pa.string()), pa.array(np.full(n, channel, np.int32)), pa.array(np.full(n, run.index, np.int32)), pa.array(rows), pa.array(cols), pa.array(codes)],
+                        ["image_id", "channel", "radius_idx", "r", "c", "code"],
+                    )
+
+    return tiles.mapInArrow(run_tiles, f"image_id string, channel int, radius_idx int, r int, c int, code {CODE[method]}")
 
 
 def histograms(tiles: DataFrame, of: Sequence[Run], patch_size: int) -> DataFrame:
-    """Dense histograms (npoints + 2 counts) of each complete patch, channel and run."""
+    """Dense histograms (npoints + 2 counts) of each complete patch, channel and run.
+
+    Tiles may have ``patches``, those that are included: the others have zeros.
+    """
+    gated = "patches" in tiles.columns
     names = [f.split()[0] for f in HISTOGRAM.split(", ")]
 
     def run_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,10 +232,15 @@ def histograms(tiles: DataFrame, of: Sequence[Run], patch_size: int) -> DataFram
                     continue
                 data = np.frombuffer(batch.column(9)[k].as_buffer(), np.uint8).reshape(th + 2 * halo, tw + 2 * halo)
                 n = nr * nc
+                kept = np.ones(n, bool)
+                if gated:
+                    kept[:] = False
+                    kept[[(p["patch_r"] - r0 // patch_size) * nc + p["patch_c"] - c0 // patch_size for p in batch.column(10)[k].as_py()]] = True
                 patch = (np.repeat(np.arange(nr), patch_size)[:, None] * nc + np.repeat(np.arange(nc), patch_size)[None, :]).astype(np.int64)
                 for run in of:
-                    codes = uniform_codes(data, r0, c0, nr * patch_size, nc * patch_size, halo, run)
-                    counts = np.bincount((patch * run.bins + codes).ravel(), minlength=n * run.bins)
+                    codes = tile_codes(data, r0, c0, nr * patch_size, nc * patch_size, halo, run)
+                    counts = np.bincount((patch * run.bins + codes).ravel(), minlength=n * run.bins).reshape(n, run.bins)
+                    counts = np.where(kept[:, None], counts, 0).ravel()
                     where = pa.array(np.arange(0, counts.size + 1, run.bins, dtype=np.int32))
                     at_r, at_c = np.divmod(np.arange(n), nc)
                     yield pa.RecordBatch.from_arrays(
@@ -165,8 +258,13 @@ def histograms(tiles: DataFrame, of: Sequence[Run], patch_size: int) -> DataFram
     return tiles.mapInArrow(run_tiles, HISTOGRAM)
 
 
-def masked_tiles(tiles: DataFrame, patch_mask: DataFrame, edge: int, patch_size: int) -> DataFrame:
-    """The tiles that have an included patch."""
+def included_by_tile(patch_mask: DataFrame, edge: int, patch_size: int) -> DataFrame:
+    """image_id, r0, c0 and patches (patch_r, patch_c, edge) of the tiles that have an included patch."""
     per = edge // patch_size
-    on = patch_mask.filter("included <> 0").select("image_id", F.expr(f"(patch_r div {per}) * {edge}").cast("int").alias("r0"), F.expr(f"(patch_c div {per}) * {edge}").cast("int").alias("c0"))
-    return tiles.join(on.distinct(), ["image_id", "r0", "c0"], "left_semi").select(tiles.columns)
+    on = patch_mask.filter("included <> 0").select("image_id", F.expr(f"(patch_r div {per}) * {edge}").cast("int").alias("r0"), F.expr(f"(patch_c div {per}) * {edge}").cast("int").alias("c0"), F.struct("patch_r", "patch_c", F.lit(patch_size).alias("edge")).alias("p"))
+    return on.groupBy("image_id", "r0", "c0").agg(F.collect_list("p").alias("patches"))  # at most per * per
+
+
+def masked_tiles(tiles: DataFrame, patch_mask: DataFrame, edge: int, patch_size: int) -> DataFrame:
+    """The tiles that have an included patch, with a list of these patches."""
+    return tiles.join(included_by_tile(patch_mask, edge, patch_size), ["image_id", "r0", "c0"]).select(*tiles.columns, "patches")

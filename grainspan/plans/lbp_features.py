@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import logging
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -10,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.params import Run, features_per_channel
-from ..operators.features import LONG, PATCH, dense, image_sizes, patch_histogram, patches, to_vectors
+from ..operators.features import LONG, PATCH, check_complete, dense, image_sizes, patch_histogram, patches, to_vectors
 from ..operators.lbp import PACKED_POINTS, PLANE_PIXELS, lbp_codes
 from ..operators.masks import KEYS, complete, patch_mask
-from ..operators.tiles import EDGE, edge_of, halo_of, histograms, masked_tiles, tiles_of_bands, tiles_of_pixels
+from ..operators.tiles import EDGE, edge_of, halo_of, histograms, included_by_tile, masked_tiles, tiles_of_bands, tiles_of_pixels
+
+log = logging.getLogger(__name__)
 
 #: Samples (pixels times points) from which the tile plan is taken.
 TILED_FROM = 5_000_000
@@ -44,16 +47,19 @@ def lbp_features(
         sizes = pixels.groupBy("image_id").agg(F.max("height").alias("h"), F.max("width").alias("w"), F.max("channels").alias("channels"))
     else:
         sizes = image_sizes(pixels)
-    found = sizes.agg(F.max("channels").alias("k"), F.max(F.col("h").cast("long") * F.col("w")).alias("n")).first()
-    channels, largest = found["k"] or 1, found["n"] or 0
+    found = sizes.agg(F.max("channels").alias("k"), F.sum(F.col("h").cast("long") * F.col("w") * F.col("channels")).alias("n")).first()
+    channels, total = found["k"] or 1, found["n"] or 0  # of all images
     if plan == "auto":
-        small = largest * sum(r.npoints for r in of) * channels < TILED_FROM and largest <= PLANE_PIXELS and all(r.npoints <= PACKED_POINTS for r in of)
+        small = total * sum(r.npoints for r in of) < TILED_FROM and total <= PLANE_PIXELS and all(r.npoints <= PACKED_POINTS for r in of)
         plan = "native" if small else "tiled"
+    if mask is not None:
+        check_mask(sizes, mask)
+    log.info("texture features: %d pixels, %d runs, patches of %d, plan %s", total, len(of), patch_size, plan)
     included = patch_mask(mask, patch_size, mask_method) if mask is not None else None
     every = patches(sizes, patch_size)
     if plan == "native":
         codes = lbp_codes(pixels, of, "uniform", patch_mask=included, patch_size=patch_size)
-        codes = complete(codes.join(F.broadcast(sizes.select("image_id", "h", "w")), "image_id"), patch_size, F.col("h"), F.col("w"))
+        codes = complete(codes.join(sizes.select("image_id", "h", "w"), "image_id"), patch_size, F.col("h"), F.col("w"))
         counted = patch_histogram(codes, patch_size)
         if included is not None:
             counted = counted.join(included.filter("included <> 0"), list(KEYS), "left_semi")
@@ -64,19 +70,35 @@ def lbp_features(
     if included is not None:
         tiles = masked_tiles(tiles, included, side, patch_size)
     counts = histograms(tiles, of, patch_size)
-    if included is not None:
-        counts = counts.join(included.filter("included <> 0"), list(KEYS), "left_semi")
-    return Features(_long(counts, every, channels, of) if output == "long" else _vectors(counts, every, channels, of), included)
-
-
-def _long(counts: DataFrame, every: DataFrame, channels: int, of: Sequence[Run]) -> DataFrame:
-    """Kernel rows are dense already; only patches that have none are filled."""
+    if output == "vector":
+        return Features(_vectors(counts, every, channels, of), included)
+    without = None
+    if included is not None:  # the patches of tiles that were dropped
+        per = side // patch_size
+        at = every.withColumns({"r0": F.expr(f"(patch_r div {per}) * {side}").cast("int"), "c0": F.expr(f"(patch_c div {per}) * {side}").cast("int")})
+        without = at.join(included_by_tile(included, side, patch_size), ["image_id", "r0", "c0"], "left_anti").select(*PATCH)
+    return Features(_long(counts, without, channels, of), included)
+
+
+def check_mask(sizes: DataFrame, mask: DataFrame) -> None:
+    """An error unless every image has a mask of its own height and width, with values of a byte."""
+    own = mask.groupBy("image_id").agg((F.max("r") + 1).alias("mh"), (F.max("c") + 1).alias("mw"), F.count("*").alias("n"), F.min("m").alias("lo"), F.max("m").alias("hi"))
+    bad = sizes.join(own, "image_id", "left").filter("mh is null or mh <> h or mw <> w or n <> cast(h as bigint) * w or lo < 0 or hi > 255").select("image_id").first()
+    if bad is not None:
+        raise ValueError(f"the mask of {bad.image_id!r} must have the image's height and width and values from 0 to 255")
+
+
+def _long(counts: DataFrame, without: DataFrame | None, channels: int, of: Sequence[Run]) -> DataFrame:
+    """Kernel rows are dense, so nothing is shuffled; patches that no kernel saw (``without``) have zeros."""
     per = features_per_channel(of)
     first = F.element_at(F.array(*[F.lit(r.offset) for r in of]), F.col("radius_idx") + 1)
     keys = [*PATCH, "channel", "radius_idx"]
-    full = every.select(*PATCH, F.explode(F.array(*[F.struct(F.lit(ch).alias("channel"), F.lit(r.index).alias("radius_idx"), F.lit(r.bins).alias("bins")) for ch in range(channels) for r in of])).alias("b"))
-    joined = full.select(*PATCH, "b.*").join(counts, keys, "left")
-    joined = joined.select(*keys, F.posexplode(F.coalesce("counts", F.expr("array_repeat(0L, bins)"))).alias("lbp_code", "count"))
+    rows = counts.select(*keys, "counts")
+    if without is not None:
+        runs = F.array(*[F.struct(F.lit(ch).alias("channel"), F.lit(r.index).alias("radius_idx"), F.lit(r.bins).alias("bins")) for ch in range(channels) for r in of])
+        zeros = without.select(*PATCH, F.explode(runs).alias("b")).select(*PATCH, "b.channel", "b.radius_idx", F.expr("array_repeat(0L, b.bins)").alias("counts"))
+        rows = rows.unionByName(zeros)
+    joined = rows.select(*keys, F.posexplode("counts").alias("lbp_code", "count"))
     return joined.withColumn("feature_number", (F.col("channel") * per + first + F.col("lbp_code")).cast("int")).select(*LONG)
 
 
@@ -101,13 +123,15 @@ def content_key(pixels: DataFrame, of: Sequence[Run], patch_size: int, mask: Dat
 
 
 def cached_features(spark: SparkSession, folder: str, pixels: DataFrame, of: Sequence[Run], patch_size: int, mask: DataFrame | None = None, mask_method: str = "any", **how) -> DataFrame:
-    """Features from a Parquet store keyed by content, computed and written once."""
-    path = f"{folder.rstrip('/')}/{content_key(pixels, of, patch_size, mask, mask_method)}"
+    """Features from a Parquet store keyed by content, computed and written once; vectors have a table of their own."""
+    vector = how.get("output") == "vector"
+    path = f"{folder.rstrip('/')}/{content_key(pixels, of, patch_size, mask, mask_method)}{'-vector' if vector else ''}"
     jvm = spark.sparkContext._jvm
     done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        lbp_features(pixels, of, patch_size, mask, mask_method, **how).features.write.mode("overwrite").partitionBy("channel", "radius_idx").parquet(path)
-    return spark.read.parquet(path).select(*LONG)
+        out = lbp_features(pixels, of, patch_size, mask, mask_method, **how).features.write.mode("overwrite")
+        (out if vector else out.partitionBy("channel", "radius_idx")).parquet(path)
+    return spark.read.parquet(path).select(*((*PATCH, "features") if vector else LONG))
 
 
 def write_features(features: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -115,12 +139,21 @@ def write_features(features: DataFrame, path: str, mode: str = "errorifexists")
     features.write.mode(mode).parquet(path)
 
 
-def export_npy(vectors: DataFrame, path: str) -> str:
+def write_manifest(jobs: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """The job table as CSV with a header, if it is complete."""
+    check_complete(jobs).write.mode(mode).option("header", True).csv(path)
+
+
+def export_npy(vectors: DataFrame, path: str, overwrite: bool = True) -> str:
     """One image's vectors as a (rows, columns, features) array file; rows come to the driver one partition at a time."""
+    import os
+
     import numpy as np
 
-    from ..sources.npy import write_array
+    from ..sources.npy import array_path, write_array
 
+    if not overwrite and os.path.exists(array_path(path)):
+        raise FileExistsError(array_path(path))
     size = vectors.agg((F.max("patch_r") + 1).alias("nr"), (F.max("patch_c") + 1).alias("nc"), F.max(F.size("features")).alias("n"), F.countDistinct("image_id").alias("images")).first()
     if size["images"] != 1:
         raise ValueError("one image at a time")
@@ -128,3 +161,19 @@ def export_npy(vectors: DataFrame, path: str) -> str:
     for row in vectors.toLocalIterator():
         cube[row.patch_r, row.patch_c] = row.features
     return write_array(path, cube)
+
+
+def features_to_npy(
+    pixels: DataFrame, of: Sequence[Run], patch_size: int, path: str, mask: DataFrame | None = None, mask_method: str = "any", plan: str = "auto", overwrite: bool = False
+) -> tuple[str, DataFrame | None, bool]:
+    """Path of the feature file, patch mask, and whether it was written: a file that exists is kept, and nothing is computed."""
+    import os
+
+    from ..sources.npy import array_path
+
+    out = array_path(path)
+    if os.path.exists(out) and not overwrite:
+        log.error("%s exists and is kept", out)
+        return out, None, False
+    made = lbp_features(pixels, of, patch_size, mask, mask_method, plan, "vector")
+    return export_npy(made.features, out), made.patch_mask, True

@@ -202,7 +202,14 @@ SELECT image_id, channel, k AS radius_idx, r, c, CAST(floor(nullif((s2 - s1 * s1
     "reduce_features_minimal": _reduced("minimal"),
     "jobs_manifest": _jobs("* EXCLUDE (job_rank)"),
     "jobs_longest_first": _jobs("channel, radius_idx, radius, npoints, job_rank"),
-    "rect_sum_integral": f"""WITH {EMB}, {SIZE}, q AS (SELECT px.image_id, channel, r AS r0, c AS c0, least(r + 8, h - 1) AS r1, least(c + 16, w - 1) AS c1 FROM px JOIN size USING (image_id) WHERE r % 7 = 0 AND c % 11 = 0)
-SELECT q.image_id, q.channel, r0, c0, r1, c1, CAST(sum(v) AS BIGINT) AS total FROM q JOIN px ON px.image_id = q.image_id AND px.channel = q.channel AND r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1 GROUP BY ALL""",
+    "rect_sum_integral": f"""WITH {EMB}, {SIZE}, q AS (SELECT px.image_id, channel, r AS r0, c AS c0, least(r + 8, h - 1) AS r1, least(c + 16, w - 1) AS c1 FROM px JOIN size USING (image_id)),
+cell AS (SELECT q.*, y, unnest(range(c0, c1 + 1)) AS x FROM (SELECT *, unnest(range(r0, r1 + 1)) AS y FROM q) q)
+SELECT q.image_id, q.channel, r0, c0, r1, c1, CAST(sum(v) AS BIGINT) AS total FROM cell q JOIN px ON px.image_id = q.image_id AND px.channel = q.channel AND px.r = y AND px.c = x GROUP BY ALL""",
+    "lbp_features_masked_tiled": f"{features_sql(R1, EMB, PATCH_SIZE, RIGHT + ', ' + patch_mask_sql(PATCH_SIZE, 'any'))} {_FEATURES}",
+    "lbp_features_vector": f"{features_sql(LADDER, EMB, PATCH_SIZE)} SELECT image_id, patch_r, patch_c, string_agg(CAST(count AS VARCHAR), ',' ORDER BY feature_number) AS features FROM long GROUP BY ALL",
+    "reduce_vectors_reduced": f"SELECT image_id, patch_r, patch_c, string_agg(CAST(count AS VARCHAR), ',' ORDER BY feature_number) AS features FROM ({_reduced('reduced')}) GROUP BY ALL",
+    "image_names": "SELECT page_id, translate(url, '.-', '__') AS image_name, translate(url, '.-', '__') || '.npy' AS file_name FROM pages",
+    "jobs_complete": f"SELECT count(*) AS n_jobs, count(*) - count(channel + radius_idx + radius + npoints + nfeatures + output_offset + total_nfeatures + job_rank) AS n_incomplete FROM ({_jobs('*')})",
     "border_modes": _modes(),
 }
+ORACLES |= {f"{name}_tiled": ORACLES[name] for name in ("lbp_default", "lbp_ror", "lbp_nri_uniform", "lbp_var", "lbp_uniform_r3", "lbp_uniform_pixel_masked", "lbp_uniform_patch_masked")}

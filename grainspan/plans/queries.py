@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dictionary, params
+from ..functions import dictionary, names, params
 from ..operators import borders, features, lbp, masks
 from ..sources import pixels
 from .lbp_features import lbp_features
@@ -43,9 +43,9 @@ def _dictionary(frame: DataFrame) -> DataFrame:
 
 
 def _rectangles(image: DataFrame) -> DataFrame:
-    """A 9 by 17 rectangle at each multiple of (7, 11), cut at the image's ends."""
+    """A 9 by 17 rectangle at each pixel, cut at the image's ends."""
     size = features.image_sizes(image).select("image_id", "h", "w")
-    at = image.filter("r % 7 = 0 and c % 11 = 0").join(F.broadcast(size), "image_id")
+    at = image.join(size, "image_id")
     return at.select("image_id", "channel", F.col("r").alias("r0"), F.col("c").alias("c0"), F.least(F.col("r") + 8, F.col("h") - 1).alias("r1"), F.least(F.col("c") + 16, F.col("w") - 1).alias("c1"))
 
 
@@ -58,8 +58,8 @@ def _samples(image: DataFrame) -> DataFrame:
     return lbp.samples(image, R1).select("image_id", "channel", "radius_idx", "r", "c", "i", F.floor(F.col("t") * 1e6).alias("t_micro"))
 
 
-def _var(image: DataFrame) -> DataFrame:
-    codes = lbp.lbp_codes(image, EIGHT, "var")
+def _var(image: DataFrame, plan: str = "native") -> DataFrame:
+    codes = lbp.lbp_codes(image, EIGHT, "var", plan=plan)
     micro = F.when(~F.isnan("code"), F.floor(F.col("code") * 1e6))
     return codes.select("image_id", "channel", "radius_idx", "r", "c", micro.alias("code_micro"))
 
@@ -67,7 +67,7 @@ def _var(image: DataFrame) -> DataFrame:
 def _histogram(image: DataFrame, mask: DataFrame | None = None) -> DataFrame:
     sizes = features.image_sizes(image).select("image_id", "h", "w")
     codes = lbp.lbp_codes(image, R1)
-    codes = masks.complete(codes.join(F.broadcast(sizes), "image_id"), PATCH_SIZE, F.col("h"), F.col("w"))
+    codes = masks.complete(codes.join(sizes, "image_id"), PATCH_SIZE, F.col("h"), F.col("w"))
     out = features.patch_histogram(codes, PATCH_SIZE)
     if mask is not None:
         on = masks.patch_mask(mask, PATCH_SIZE, "any").filter("included = 1")
@@ -85,6 +85,20 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lbp_features(embeddings(spark, sf_dir), R1, PATCH_SIZE, plan="native").features
 
 
+def _joined(vectors: DataFrame) -> DataFrame:
+    """Vectors with their counts as text."""
+    return vectors.select("image_id", "patch_r", "patch_c", F.array_join(F.col("features").cast("array<string>"), ",").alias("features"))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbp_features(embeddings(spark, sf_dir), LADDER, PATCH_SIZE, plan="tiled", output="vector").features
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return pages.select("page_id", names.image_name(F.col("url")).alias("image_name"), names.file_name(names.image_name(F.col("url"))).alias("file_name"))
+
+
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.jobs(spark, 3, LADDER)
 
@@ -131,5 +145,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "jobs_manifest": lambda s, d: _jobs(s, d).drop("job_rank"),
     "jobs_longest_first": lambda s, d: _jobs(s, d).select("channel", "radius_idx", "radius", "npoints", "job_rank"),
     "rect_sum_integral": lambda s, d: borders.rect_sum(borders.summed_area(embeddings(s, d)), _rectangles(embeddings(s, d))),
+    **{f"lbp_{m}_tiled": (lambda s, d, m=m: lbp.lbp_codes(embeddings(s, d), EIGHT, m, plan="tiled")) for m in ("default", "ror", "nri_uniform")},
+    "lbp_var_tiled": lambda s, d: _var(embeddings(s, d), "tiled"),
+    "lbp_uniform_r3_tiled": lambda s, d: lbp.lbp_codes(embeddings(s, d), LADDER[2:3], plan="tiled"),
+    "lbp_uniform_pixel_masked_tiled": lambda s, d: lbp.lbp_codes(embeddings(s, d), R1, mask=bright(embeddings(s, d)), plan="tiled"),
+    "lbp_uniform_patch_masked_tiled": lambda s, d: lbp.lbp_codes(embeddings(s, d), R1, patch_mask=masks.patch_mask(bright(embeddings(s, d)), 2, "all"), patch_size=2, plan="tiled"),
+    "lbp_features_masked_tiled": lambda s, d: lbp_features(embeddings(s, d), R1, PATCH_SIZE, right_half(embeddings(s, d)), plan="tiled", edge=32).features,
+    "lbp_features_vector": lambda s, d: _joined(_vectors(s, d)),
+    "reduce_vectors_reduced": lambda s, d: _joined(features.reduce_vectors(_vectors(s, d), 1, LADDER, "reduced")),
+    "image_names": _names,
+    "jobs_complete": lambda s, d: features.incomplete(_jobs(s, d)),
     "border_modes": lambda s, d: _border_modes(s),
 }

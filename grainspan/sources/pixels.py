@@ -134,7 +134,44 @@ def write_sample_image(spark: SparkSession, path: str, height: int, width: int,
     import os
 
     if not os.path.exists(path):
-        r, c, k = np.meshgrid(np.arange(height, dtype=np.int64), np.arange(width, dtype=np.int64), np.arange(channels, dtype=np.int64), indexing="ij")
-        v = ((r * 1103515245 + c * 1664525 + r * c * 22695477 + k * 2654435761) // 65536) % 256
-        write_array(path, v.astype(np.uint8))
+        write_array(path, _noise(height, width, channels))
     return os.path.abspath(path)
+
+
+def _noise(height: int, width: int, channels: int) -> np.ndarray:
+    r, c, k = np.meshgrid(np.arange(height, dtype=np.int64), np.arange(width, dtype=np.int64), np.arange(channels, dtype=np.int64), indexing="ij")
+    return (((r * 1103515245 + c * 1664525 + r * c * 22695477 + k * 2654435761) // 65536) % 256).astype(np.uint8)
+
+
+def create_sample_image(spark: SparkSession, height: int, width: int, channels: int, kind: str, folder: str) -> str:
+    """Writes synthetic noise as an image file (png, jpg or tiff) of one or three channels, if it is not there yet, by the JVM's own
+    codecs. Returns the absolute path."""
+    import os
+
+    if kind not in ("png", "jpg", "tiff"):
+        raise ValueError("kind must be png, jpg or tiff")
+    if channels not in (1, 3):
+        raise ValueError("channels must be 1 or 3")
+    path = os.path.abspath(f"{folder}/img_{'rgb' if channels == 3 else 'gray'}_{height}x{width}.{kind}")
+    if os.path.exists(path):
+        return path
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    jvm = spark.sparkContext._jvm
+    image = jvm.java.awt.image.BufferedImage(width, height, 5 if channels == 3 else 10)  # 3BYTE_BGR, BYTE_GRAY
+    # Data elements are in the order of bands: red, green, blue.
+    image.getRaster().setDataElements(0, 0, width, height, _noise(height, width, channels).tobytes())
+    if not jvm.javax.imageio.ImageIO.write(image, kind, jvm.java.io.File(path)):
+        raise OSError(f"no codec for {kind}")
+    return path
+
+
+def load_sample_image(spark: SparkSession, height: int, width: int, channels: int, kind: str, folder: str, create: bool = True) -> DataFrame:
+    """Records of the sample image, which is written first if it is missing and ``create`` is set."""
+    import os
+
+    path = f"{folder}/img_{'rgb' if channels == 3 else 'gray'}_{height}x{width}.{kind}"
+    if create:
+        path = create_sample_image(spark, height, width, channels, kind, folder)
+    elif not os.path.exists(path):
+        raise FileNotFoundError(path)
+    return read_images(spark, path)
