@@ -63,3 +63,46 @@ def test_isotonic():
     x = np.array([0.0, 1, 2, 3, 4])
     knots, values = quality.isotonic(x, np.array([0.0, 1, 0, 1, 1]), np.ones(5))
     assert np.interp(x, knots, values).tolist() == [0, 0.5, 0.5, 1, 1]
+
+
+def test_against_a_plain_solution(spark):
+    """Scores equal those of a direct least-squares solution, with folds, bins and the isotonic fit written out."""
+    import zlib
+
+    from grainspan.llm.docstats import statistics
+    from grainspan.llm.scratch import table
+
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: (r.text or "").encode() for r in table(spark, sf, "documents").collect()}
+    marks = [(r.doc_id, r.quality) for r in table(spark, sf, "labels").collect() if r.doc_id in texts and r.quality in (0, 1)]
+    crc = lambda i: zlib.crc32(str(i).encode())
+    stats = {i: statistics(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for i, t in texts.items()}
+    learn = [(i, y) for i, y in marks if crc(i) % 4 != 2]
+    x = np.array([stats[i] for i, _ in learn])
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
+
+    def features(s):
+        v = np.clip((s - mean) / scale, -4, 4)
+        return np.concatenate([[1.0], 0.3 * v, np.sqrt(2 / quality.FEATURES) * np.cos(v @ quality._W + quality._B)])
+
+    def solution(rows):
+        z, y = np.array([features(stats[i]) for i, _ in rows]), np.array([float(y) for _, y in rows])
+        penalty = np.full(z.shape[1], quality.RIDGE * max(1, len(rows)) * 1e-2 + quality.RIDGE)
+        penalty[0] = 1e-9
+        return np.linalg.lstsq(np.vstack([z, np.diag(np.sqrt(penalty))]), np.concatenate([y, np.zeros(z.shape[1])]), rcond=None)[0]
+
+    fold = lambda i: crc(i) % 16 // 4
+    without = [solution([r for r in learn if fold(r[0]) != k]) for k in range(4)]
+    bins = {}
+    for i, y in learn:
+        raw = features(stats[i]) @ without[fold(i)]
+        bins.setdefault(min(max(int(np.floor((raw + 0.5) / 2 * quality.BINS)), 0), quality.BINS - 1), []).append((raw, y))
+    raws = [np.mean([a for a, _ in bins[b]]) for b in sorted(bins)]
+    sums = [(sum(y for _, y in bins[b]), len(bins[b])) for b in sorted(bins)]
+    share = lambda a, b: sum(s for s, _ in sums[a : b + 1]) / sum(n for _, n in sums[a : b + 1])
+    fitted = [max(min(share(a, b) for b in range(k, len(sums))) for a in range(k + 1)) for k in range(len(sums))]
+    weights = solution(learn)
+    got = {r.doc_id: r.score for r in quality.op8_quality(spark, sf).collect()}
+    want = {i: float(np.clip(np.interp(features(s) @ weights, raws, fitted), 0, 1)) for i, s in stats.items()}
+    assert set(got) == set(want)
+    np.testing.assert_allclose([got[i] for i in sorted(got)], [want[i] for i in sorted(got)], atol=1e-5)
