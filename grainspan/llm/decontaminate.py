@@ -11,13 +11,14 @@ hit words but are in no list of items; columns other than the named ones are pas
 equal or null doc_id stay one row each.
 
 Scale: the scan has no shuffle. The benchmark is read to the driver only up to ``AUTOMATON_BYTES`` of
-patterns; a larger one is cut into that many automata, each scanned in a pass of its own, and the passes
-are united by document, so that memory stays bounded at any size of the benchmark.
+patterns; a larger one is cut into that many automata, each sent out, scanned and written in a pass of its own before the next,
+and the passes are united by document, so that memory stays bounded at any size of the benchmark. A worker builds an automaton once.
 """
 
 from __future__ import annotations
 
-import hashlib
+import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import table
+from .scratch import Scratch, table
 
 WINDOW = 10
 #: Bytes of distinct patterns in one automaton: some 30 times as much memory in each Python worker.
@@ -81,17 +82,28 @@ def find(text: str, machine) -> tuple[int, np.ndarray, set]:
     return len(words), np.flatnonzero(np.cumsum(cover[:-1]) > 0), items
 
 
-def original_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
-    """Character offsets, end exclusive, of each run of hit words in the text as it was."""
+def original_words(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
+    """Character offsets, end exclusive, of each hit word in the text as it was."""
     raw = text.encode("utf-8", "surrogatepass")
     data = np.frombuffer(raw.translate(_FOLD), np.uint8)
     word = np.concatenate([[False], data != 32, [False]])
     edge = np.flatnonzero(word[1:] != word[:-1])
     starts, ends = edge[::2], edge[1::2]
     chars = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
-    first = hit[np.concatenate([[True], np.diff(hit) > 1])]
-    last = hit[np.concatenate([np.diff(hit) > 1, [True]])]
-    return list(zip(chars[starts[first]].tolist(), chars[ends[last]].tolist(), strict=True))
+    return list(zip(chars[starts[hit]].tolist(), chars[ends[hit]].tolist(), strict=True))
+
+
+def in_runs(hit: list[int], spans: list[int]) -> tuple[list[int], list[int]]:
+    """Distinct hit words in order, and the offsets of each run of successive ones, from words (in any order, with repeats) and
+    their offsets."""
+    words = sorted({(k, spans[2 * i], spans[2 * i + 1]) for i, k in enumerate(hit)})
+    out: list[int] = []
+    for i, (k, start, end) in enumerate(words):
+        if i and words[i - 1][0] == k - 1:
+            out[-1] = end
+        else:
+            out += [start, end]
+    return [k for k, _, _ in words], out
 
 
 def pattern_blocks(benchmark: DataFrame, limit: int = AUTOMATON_BYTES) -> Iterator[dict[str, frozenset]]:
@@ -114,21 +126,30 @@ def pattern_blocks(benchmark: DataFrame, limit: int = AUTOMATON_BYTES) -> Iterat
     yield {p: frozenset(v) for p, v in block.items()}
 
 
-def scan(docs: DataFrame, patterns: dict[str, frozenset], spans: bool = False) -> DataFrame:
-    """doc_id, text's n_words, the hit words and items of one automaton; ``spans`` adds original offsets."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(patterns)
-    kept: dict = {}
+_machine: list = [None, None]
+
+
+def machine_of(shared, name: str):
+    """The automaton of a broadcast, which a worker builds once; of several only the last is kept."""
+    if _machine[0] != name:
+        _machine[:] = [None, None]
+        _machine[:] = [name, automaton(shared.value)]
+    return _machine[1]
+
+
+def scan(docs: DataFrame, shared, spans: bool = False) -> DataFrame:
+    """doc_id, text's n_words, the hit words and items of one automaton, whose patterns are broadcast; ``spans`` adds the
+    original offsets of the hit words."""
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "machine" not in kept:
-            kept["machine"] = automaton(shared.value)
+        machine = machine_of(shared, name)
         for batch in batches:
             cols: list[list] = [[], [], [], []]
             for text in batch.column(1):
                 text = text.as_py() or ""
-                n, hit, items = find(text, kept["machine"])
-                for c, v in zip(cols, (n, hit.tolist(), sorted(items), [x for p in original_spans(text, hit) for x in p] if spans and hit.size else []), strict=True):
+                n, hit, items = find(text, machine)
+                for c, v in zip(cols, (n, hit.tolist(), sorted(items), [x for p in original_words(text, hit) for x in p] if spans and hit.size else []), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -150,27 +171,41 @@ def scan(docs: DataFrame, patterns: dict[str, frozenset], spans: bool = False) -
 def contamination(docs: DataFrame, benchmark: DataFrame, limit: int = AUTOMATON_BYTES, spans: bool = False) -> DataFrame:
     """doc_id, n_words, hit (sorted indices of hit words), items (sorted ids) and, on request, spans
     (start, end, start, end ... in characters of the original)."""
+    context = docs.sparkSession.sparkContext
     blocks = pattern_blocks(benchmark, limit)
     first = next(blocks)
     second = next(blocks, None)
     if second is None:
-        return scan(docs, first, spans).withColumnRenamed("row", "doc_id")
+        found = scan(docs, context.broadcast(first), spans)
+        return (_runs(found) if spans else found).withColumnRenamed("row", "doc_id")
     # Several automata: the rows of each pass meet by a row number that is fixed in the shared folder.
-    from .scratch import Scratch
-
-    fixed = Scratch(docs.sparkSession, "decontaminate").save(
-        docs.select(F.struct(F.monotonically_increasing_id().alias("k"), F.col("doc_id").alias("id")).alias("doc_id"), "text")
-    )
-    passes = [scan(fixed, first, spans), scan(fixed, second, spans), *(scan(fixed, b, spans) for b in blocks)]
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
-    union = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_list(c))))
-    return (
-        every.groupBy("row")
-        .agg(F.max("n_words").alias("n_words"), union("hit").alias("hit"), union("items").alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-        .select(F.col("row.id").alias("doc_id"), "n_words", "hit", "items", "spans")
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    fixed = scratch.save(docs.select(F.monotonically_increasing_id().alias("k"), F.col("doc_id").alias("id"), "text"))
+    every = None
+    for block in itertools.chain((first, second), blocks):
+        shared = context.broadcast(block)
+        one = scratch.save(scan(fixed.select(F.col("k").alias("doc_id"), "text"), shared, spans))
+        shared.destroy()
+        every = one if every is None else every.unionByName(one)
+    lists = every.groupBy("row").agg(
+        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hit")).alias("hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans")
     )
+    lists = _runs(lists) if spans else lists.withColumn("hit", F.sort_array(F.array_distinct("hit")))
+    return fixed.select("k", F.col("id").alias("doc_id")).join(lists, F.col("k") == lists.row).select("doc_id", "n_words", "hit", "items", "spans")
+
+
+def _runs(found: DataFrame) -> DataFrame:
+    """The rows of ``scan`` with offsets of runs instead of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [in_runs(hit, spans) for hit, spans in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([h for h, _ in made], pa.list_(pa.int64())), batch.column(3), pa.array([s for _, s in made], pa.list_(pa.int64()))], batch.schema.names
+            )
+
+    found = found.select("row", "n_words", "hit", "items", "spans")
+    return found.mapInArrow(run, found.schema)
 
 
 def sorted_list(items: Column) -> Column:

@@ -61,8 +61,26 @@ def test_spans_in_the_original():
     text = "éé! the QUICK, café; (fox)... end"
     n, hit, items = decontaminate.find(text, machine)
     assert (n, hit.tolist(), items) == (6, [1, 2, 3, 4], {"1"})
-    (a, b), = decontaminate.original_spans(text, hit)
-    assert text[a:b] == "the QUICK, café; (fox"
+    words = [x for p in decontaminate.original_words(text, hit) for x in p]
+    hits, (a, b) = decontaminate.in_runs(hit.tolist(), words)
+    assert hits == [1, 2, 3, 4] and text[a:b] == "the QUICK, café; (fox"
+
+
+def test_spans_do_not_depend_on_the_number_of_automata(spark):
+    rows, items = tables(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    frame = docs(spark, rows).withColumnRenamed("lang", "row").withColumnRenamed("source", "hit").withColumnRenamed("n_chars", "k")
+    answers = []
+    for limit in (1 << 22, 200):
+        out = decontaminate.contamination(frame, bench, limit, spans=True).collect()
+        answers.append(sorted(((r.doc_id, r.hit, r["items"], r.spans) for r in out), key=repr))
+        assert decontaminate.clean(frame, bench).columns == frame.columns
+    assert answers[0] == answers[1] and any(len(a[3]) > 2 for a in answers[0])
+    texts = dict(rows)
+    for i, hit, _, spans in answers[0]:
+        if i is not None and i >= 200:
+            inside = [w for a, b in zip(spans[::2], spans[1::2], strict=True) for w in norm(texts[i][a:b])]
+            assert inside == [norm(texts[i])[k] for k in hit]
 
 
 def test_digest(spark, tmp_path):

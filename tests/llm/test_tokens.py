@@ -74,3 +74,8 @@ def test_other_tokenizers_encode_whole_texts(spark):
     other = tokens.load(path)
     out = {(r.doc_id, r.n_tokens) for r in tokens.counts(docs(spark, rows), path).collect()}
     assert out == {(i, direct(other, t)) for i, t in rows}
+
+
+def test_further_columns_with_names_of_the_result(spark, library):
+    frame = docs(spark, awkward()).withColumnRenamed("lang", "n_tokens").withColumnRenamed("source", "n_bytes")
+    assert {(r.doc_id, r.n_tokens) for r in tokens.counts(frame).collect()} == {(i, direct(library, t)) for i, t in awkward()}
