@@ -3,7 +3,8 @@
 Documents are sets of distinct five-word shingles; two are linked if 100 * intersection >= 85 * union.
 
 1. One scan makes, for each document, the size of its set, a 128-bit fingerprint of it and a signature of
-   ``COORDINATES`` minima. Documents with one fingerprint are one class, which goes on under the fingerprint; doc_ids come back at the end.
+   ``COORDINATES`` minima. Documents with one fingerprint are one class, which goes on under a number that a written table fixes;
+   doc_ids come back at the end.
 2. Classes are posted under each coordinate-value pair. A value that only one class has can match nobody,
    so a class with fewer than ``MATCHES`` shared values has no partner and goes.
 3. The rest of a class's values are ordered by list length, rarest first. A pair with MATCHES common values
@@ -93,13 +94,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """fp and members of texts; of columns id and text, the id is not used."""
+    """fp and members of the texts that have words; the first column is not used."""
     import xxhash
 
     for batch in batches:
         for _, _, data, offsets in runs(batch.column(1)):
             sets = [s for s in shingle_sets(data, offsets) if s.size]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.data) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.data) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["fp", "members"])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +143,10 @@ def components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
 
     # One row for each class; the signature of any member is that of all.
     classes = scratch.save(
-        signed.filter("fp is not null").groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.any_value("sig").alias("sig"))
+        signed.filter("fp is not null")
+        .groupBy("fp")
+        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.any_value("sig").alias("sig"))
+        .withColumn("node", F.monotonically_increasing_id())
     )
     posted = classes.select("node", F.explode("sig").alias("key"))
     lengths = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -155,17 +159,17 @@ def components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
     )
     n_candidates = candidates.count()
     if not n_candidates:
-        linked = spark.createDataFrame([], "node binary, component binary")
+        linked = spark.createDataFrame([], "node long, component long")
     else:
-        wanted = candidates.select("node")
-        if n_candidates <= BROADCAST_IDS:
-            wanted = F.broadcast(wanted)
+        small = n_candidates <= BROADCAST_IDS
+        wanted = F.broadcast(candidates.select("node")) if small else candidates.select("node")
+        marks = scratch.save(classes.join(wanted, "node", "left_semi").select("fp", "node", "rep"))
         # Of each class one text is read, that of its smallest doc_id; where that id has several texts, all of them are and one stays.
-        ids = classes.join(wanted, "node", "left_semi").select(F.col("rep").alias("id")).distinct()
-        if n_candidates <= BROADCAST_IDS:
-            ids = F.broadcast(ids)
-        sets = docs.join(ids, docs.doc_id.eqNullSafe(ids.id), "left_semi").mapInArrow(_full_sets, "node binary, members binary")
-        sets = scratch.save(sets.join(wanted, "node", "left_semi"))
+        ids, named = marks.select(F.col("rep").alias("id")).distinct(), marks.select("fp", "node")
+        if small:
+            ids, named = F.broadcast(ids), F.broadcast(named)
+        sets = docs.join(ids, docs.doc_id.eqNullSafe(ids.id), "left_semi").mapInArrow(_full_sets, "fp binary, members binary")
+        sets = scratch.save(sets.join(named, "fp").select("node", "members"))
         if sets.count() > n_candidates:
             sets = scratch.save(sets.groupBy("node").agg(F.any_value("members").alias("members")))
         sigs = scratch.save(classes.join(wanted, "node", "left_semi").select("node", "sig"))
@@ -187,9 +191,9 @@ def components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
                 linked = connected(links.select("x", "y").unionByName(more).select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
 
     # Classes that are alone need no answer but their own.
-    grouped = classes.join(linked, "node", "left").filter("component is not null or rows > 1").select("node", "rep", F.coalesce("component", "node").alias("root"))
+    grouped = classes.join(linked, "node", "left").filter("component is not null or rows > 1").select("fp", "rep", F.coalesce("component", "node").alias("root"))
     least = grouped.groupBy("root").agg(F.min("rep").alias("component"))
-    return signed.select("doc_id", "n_shingles", "fp"), grouped.join(least, "root").select(F.col("node").alias("fp"), "root", "component")
+    return signed.select("doc_id", "n_shingles", "fp"), grouped.join(least, "root").select("fp", "root", "component")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -206,7 +210,7 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
     agree = F.expr("aggregate(zip_with(sig_x, sig_y, (a, b) -> if(a = b, 1, 0)), 0, (s, v) -> s + v)")
     likely = pairs.join(left, "x").join(right, "y").filter(agree >= MATCHES).select("x", "y")
     full = likely.join(sets.select(F.col("node").alias("x"), F.col("members").alias("set_x")), "x").join(sets.select(F.col("node").alias("y"), F.col("members").alias("set_y")), "y")
-    return full.select("x", "y", "set_x", "set_y").mapInArrow(_confirm, "x binary, y binary")
+    return full.select("x", "y", "set_x", "set_y").mapInArrow(_confirm, "x long, y long")
 
 
 def _blockwise(members: DataFrame, families: DataFrame, sigs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -233,9 +237,9 @@ def _blockwise(members: DataFrame, families: DataFrame, sigs: DataFrame, sets: D
     )
     tasks = placed.select("family", "node", "component", F.explode(meets).alias("task"))
     signed = tasks.join(sigs, "node").select("family", "task.one", "task.two", "node", "component", "sig")
-    likely = scratch.save(signed.groupBy("family", "one", "two").applyInPandas(_collisions_in_block, "family binary, one int, two int, node binary, component binary"))
+    likely = scratch.save(signed.groupBy("family", "one", "two").applyInPandas(_collisions_in_block, "family long, one int, two int, node long, component long"))
     full = likely.join(sets, "node")
-    return full.groupBy("family", "one", "two").applyInPandas(_links_in_block, "x binary, y binary")
+    return full.groupBy("family", "one", "two").applyInPandas(_links_in_block, "x long, y long")
 
 
 def _collisions_in_block(block):
@@ -288,8 +292,8 @@ def _links_in_block(block):
         a, b = find(int(component[i])), find(int(component[j]))
         if a != b:
             root[a] = b
-            out.append((node[i], node[j]))
-    return pd.DataFrame(out, columns=["x", "y"])
+            out.append((int(node[i]), int(node[j])))
+    return pd.DataFrame(out, columns=["x", "y"], dtype="int64")
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,7 +321,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     if n[1]:
         # The fingerprints to keep under each of these ids: of a component, the least of those with its smallest doc_id.
         of = rows.join(several, rows.doc_id.eqNullSafe(several.doc_id), "left_semi").filter("first and fp is not null")
-        marks = kept.save(of.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min(F.struct("fp")).alias("m"), F.min("doc_id").alias("id")).select("id", F.col("m.fp").alias("fp")))
+        whose = F.struct("root", F.when(F.col("root").isNull(), F.col("fp")))  # a class that is alone has no root
+        marks = kept.save(of.groupBy(whose).agg(F.min("fp").alias("fp"), F.min("doc_id").alias("id")).select("id", "fp"))
         ids = kept.save(several)
         some = known.join(ids, F.col("\x00id").eqNullSafe(ids.doc_id), "left_semi")
         row = some.select(F.struct(*docs.columns).alias("row"), F.col("\x00id").alias("id"), "text")
