@@ -1,8 +1,9 @@
-"""Circular local binary patterns: a relational plan for tables of up to ``PLANE_PIXELS`` pixels, and the tile plan for all others.
+"""Circular local binary patterns: a relational plan, whose codes are for tables of up to ``PLANE_PIXELS`` pixels, and the tile plan for all others.
 
-A pixel meets its P neighbour points in one explode; the four corners of a point are looked up in the plane's array,
-which is broadcast only below that bound, all images and channels together (more take the tile plan, ``grainspan.operators.tiles``). All points of a pixel stand
-together, so the aggregation reduces them before the shuffle to one row a pixel.
+A pixel meets its P neighbour points in one explode; the four corners of a point are looked up in the array of the pixel's
+block, which has a halo as wide as the largest radius, so ``samples`` takes tables of any size. Codes of more pixels than that bound, all images and
+channels together, are left to the tile plan (``grainspan.operators.tiles``). All points of a pixel stand
+together and stay in their block's partition, where they are aggregated.
 
 The bilinear value is taken from absolute coordinates and in one fixed order, two horizontal steps and then the
 vertical one; a corner outside of the image counts as 0 on its own; a point equal to the centre gives a one.
@@ -10,8 +11,10 @@ vertical one; a corner outside of the image counts as 0 on its own; a point equa
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,45 +22,55 @@ from ..functions.params import Run, offsets
 from .masks import with_patch
 from .tiles import EDGE, edge_of, halo_of, included_by_tile, pixel_codes, tiles_of_pixels
 
+#: Pixels up to which codes take the relational plan.
 PLANE_PIXELS = 1 << 22
+#: Edge of a block of the relational plan, without its halo.
+BLOCK = 128
 #: Ones of a pixel are packed in a 64-bit integer; more points take the tile plan.
 PACKED_POINTS = 62
 METHODS = ("default", "ror", "uniform", "nri_uniform", "var")
 PIXEL = ("image_id", "channel", "r", "c")
+BLOCK_KEYS = ("image_id", "channel", "br", "bc")
 
 
-def planes(pixels: DataFrame) -> DataFrame:
-    """image_id, channel, h, w and flat (row after row) of each plane."""
-    size = pixels.count()
-    if size > PLANE_PIXELS:
-        raise ValueError(f"there are {size} pixels, the relational plan takes {PLANE_PIXELS}; use the tile plan")
-    cells = F.array_sort(F.collect_list(F.struct("r", "c", "v")))
-    return pixels.groupBy("image_id", "channel").agg(
-        (F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"), F.transform(cells, lambda x: x.v).alias("flat")
-    )
+def blocks(pixels: DataFrame, halo: int, edge: int = BLOCK) -> DataFrame:
+    """image_id, channel, br, bc and flat (row after row, with the halo) of each block; positions without a pixel are 0."""
+    wide = edge + 2 * halo
+    span = lambda x: F.expr(f"sequence(cast(floor(({x} - {halo}) / {edge}) as int), cast(floor(({x} + {halo}) / {edge}) as int))")
+    at = pixels.select("image_id", "channel", "r", "c", "v", F.explode(span("r")).alias("br"), span("c").alias("bcs"))
+    at = at.select("image_id", "channel", "r", "c", "v", "br", F.explode("bcs").alias("bc")).filter("v <> 0")
+    place = (F.col("r") - F.col("br") * edge + halo) * wide + F.col("c") - F.col("bc") * edge + halo
+    grouped = at.withColumn("place", place.cast("int")).groupBy(*BLOCK_KEYS).agg(F.collect_list("place").alias("place"), F.collect_list("v").alias("v"))
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                flat = np.zeros(wide * wide, np.int32)
+                flat[batch.column(4)[k].values.to_numpy()] = batch.column(5)[k].values.to_numpy()
+                ends = pa.array([0, flat.size], pa.int32())
+                yield pa.RecordBatch.from_arrays([*(c.slice(k, 1) for c in batch.columns[:4]), pa.ListArray.from_arrays(ends, pa.array(flat))], [*BLOCK_KEYS, "flat"])
 
-def point_array(run: Run) -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for i, (dy, dx) in enumerate(offsets(run))])
+    return grouped.mapInArrow(pack, "image_id string, channel int, br int, bc int, flat array<int>")
 
 
-def _corner(y: str, x: str) -> str:
-    return f"if({y} >= 0 and {y} < h and {x} >= 0 and {x} < w, get(flat, cast({y} * w + {x} as int)), 0)"
+def point_array(of: Sequence[Run]) -> Column:
+    """radius_idx, npoints, i, dy and dx of all points of all runs."""
+    return F.array(*[F.struct(F.lit(r.index).alias("radius_idx"), F.lit(r.npoints).alias("npoints"), F.lit(i).alias("i"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for r in of for i, (dy, dx) in enumerate(offsets(r))])
 
 
-def samples(pixels: DataFrame, of: Sequence[Run], centres: DataFrame | None = None) -> DataFrame:
-    """image_id, channel, r, c, v, radius_idx, i and t, the bilinear value of each point of ``centres`` (all pixels)."""
-    centres = (pixels if centres is None else centres).join(F.broadcast(planes(pixels)), ["image_id", "channel"])
-    runs = F.array(*[F.struct(F.lit(r.index).alias("radius_idx"), F.lit(r.npoints).alias("npoints")) for r in of])
-    every = None
-    for k, run in enumerate(of):
-        one = centres.select("*", F.element_at(runs, k + 1).alias("run"), F.explode(point_array(run)).alias("p"))
-        every = one if every is None else every.unionByName(one)
+def samples(pixels: DataFrame, of: Sequence[Run], centres: DataFrame | None = None, edge: int = BLOCK) -> DataFrame:
+    """image_id, channel, r, c, v, the block br and bc, radius_idx, npoints, i and t, the bilinear value of each point of ``centres`` (all pixels)."""
+    halo = halo_of(of)
+    own = lambda x: F.floor(F.col(x) / edge).cast("int")
+    centres = (pixels if centres is None else centres).select(*PIXEL, "v", own("r").alias("br"), own("c").alias("bc"))
+    near = centres.join(blocks(pixels, halo, edge), list(BLOCK_KEYS), "left")  # a block of zeros has no array
+    every = near.select("*", F.explode(point_array(of)).alias("p"))
     at = every.select("*", (F.col("r") + F.col("p.dy")).alias("y"), (F.col("c") + F.col("p.dx")).alias("x"))
     at = at.withColumns({"y0": F.floor("y"), "y1": F.ceil("y"), "x0": F.floor("x"), "x1": F.ceil("x"), "a": F.col("y") - F.floor("y"), "b": F.col("x") - F.floor("x")})
-    top = f"((1 - b) * {_corner('y0', 'x0')} + b * {_corner('y0', 'x1')})"
-    bottom = f"((1 - b) * {_corner('y1', 'x0')} + b * {_corner('y1', 'x1')})"
-    return at.select(*PIXEL, "v", F.col("run.radius_idx").alias("radius_idx"), F.col("run.npoints").alias("npoints"), F.col("p.i").alias("i"), F.expr(f"(1 - a) * {top} + a * {bottom}").alias("t"))
+    corner = lambda y, x: f"coalesce(get(flat, cast(({y} - br * {edge} + {halo}) * {edge + 2 * halo} + {x} - bc * {edge} + {halo} as int)), 0)"
+    top = f"((1 - b) * {corner('y0', 'x0')} + b * {corner('y0', 'x1')})"
+    bottom = f"((1 - b) * {corner('y1', 'x0')} + b * {corner('y1', 'x1')})"
+    return at.select(*PIXEL, "v", "br", "bc", F.col("p.radius_idx").alias("radius_idx"), F.col("p.npoints").alias("npoints"), F.col("p.i").alias("i"), F.expr(f"(1 - a) * {top} + a * {bottom}").alias("t"))
 
 
 def transitions(bits: Column, npoints: Column) -> Column:
@@ -129,12 +142,15 @@ def lbp_codes(pixels: DataFrame, of: Sequence[Run], method: str = "uniform", mas
     method = check(of, method)
     if plan not in ("auto", "native", "tiled"):
         raise ValueError(f"unknown plan {plan!r}")
+    chosen = plan
     if plan == "auto":
         plan = "native" if all(r.npoints <= PACKED_POINTS for r in of) and pixels.count() <= PLANE_PIXELS else "tiled"
     if plan == "tiled":
         return _tiled(pixels, of, method, mask, patch_mask, patch_size, edge)
     if any(r.npoints > PACKED_POINTS for r in of):
         raise ValueError(f"the relational plan takes at most {PACKED_POINTS} points")
+    if chosen == "native" and (size := pixels.count()) > PLANE_PIXELS:
+        raise ValueError(f"there are {size} pixels, the relational plan takes {PLANE_PIXELS}; use the tile plan")
     centres = pixels
     if mask is not None:
         centres = centres.join(mask.filter("m <> 0").select("image_id", "r", "c"), ["image_id", "r", "c"], "left_semi").select(pixels.columns)
@@ -145,14 +161,14 @@ def lbp_codes(pixels: DataFrame, of: Sequence[Run], method: str = "uniform", mas
     keys = (*PIXEL, "radius_idx")
     if method == "var":
         t = F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda x: x.t)
-        made = points.groupBy(*keys).agg(t.alias("t"))
+        made = points.groupBy(*keys, "br", "bc").agg(t.alias("t"))
         total = "aggregate(t, cast(0 as double), (a, x) -> a + x)"
         squares = "aggregate(t, cast(0 as double), (a, x) -> a + x * x)"
         made = made.select(*keys, F.expr(f"({squares} - {total} * {total} / size(t)) / size(t)").alias("var"))
         made = made.select(*keys, F.when(F.col("var") == 0, F.lit(float("nan"))).otherwise(F.col("var")).alias("code"))
     else:
         s = points.withColumn("s", (F.col("t") - F.col("v") >= 0).cast("int"))
-        made = s.groupBy(*keys, "npoints").agg(
+        made = s.groupBy(*keys, "br", "bc", "npoints").agg(
             F.sum(F.expr("shiftleft(cast(s as bigint), i)")).alias("bits"),
             F.sum("s").cast("int").alias("ones"),
             F.min(F.when(F.col("s") == 1, F.col("i"))).alias("first_one"),
