@@ -58,7 +58,7 @@ def _samples(image: DataFrame) -> DataFrame:
     return lbp.samples(image, R1).select("image_id", "channel", "radius_idx", "r", "c", "i", F.floor(F.col("t") * 1e6).alias("t_micro"))
 
 
-def _var(image: DataFrame, plan: str = "native") -> DataFrame:
+def _var(image: DataFrame, plan: str = "auto") -> DataFrame:
     codes = lbp.lbp_codes(image, EIGHT, "var", plan=plan)
     micro = F.when(~F.isnan("code"), F.floor(F.col("code") * 1e6))
     return codes.select("image_id", "channel", "radius_idx", "r", "c", micro.alias("code_micro"))

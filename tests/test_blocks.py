@@ -39,3 +39,11 @@ def test_bilinear_samples_of_a_large_table(spark, monkeypatch):
     want = sorted(query(spark, SF).collect())
     monkeypatch.setattr(lbp, "PLANE_PIXELS", 1000)
     assert want and sorted(query(spark, SF).collect()) == want
+
+
+@pytest.mark.parametrize("name", ["lbp_var", "lbp_default"])
+def test_codes_of_a_large_table(spark, monkeypatch, name):
+    plain = lambda: sorted(QUERIES[name](spark, SF).collect(), key=repr)
+    want = plain()
+    monkeypatch.setattr(lbp, "PLANE_PIXELS", 1000)
+    assert want and plain() == want
