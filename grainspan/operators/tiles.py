@@ -19,6 +19,8 @@ from ..functions.params import Run, offsets
 
 #: Edge of a tile, before it is made a multiple of the patch.
 EDGE = 256
+#: Rows of a table of positions that are packed together.
+PACKED_ROWS = 1 << 19
 TILE = "image_id string, channel int, r0 int, c0 int, th int, tw int, halo int, h int, w int, data binary"
 HISTOGRAM = "image_id string, channel int, radius_idx int, patch_r int, patch_c int, counts array<bigint>"
 
@@ -52,6 +54,92 @@ def tiles_of_pixels(pixels: DataFrame, sizes: DataFrame, edge: int, halo: int) -
     return grouped.mapInArrow(pack, TILE)
 
 
+def sides(patch_size: int, edge: int, height: int, width: int) -> tuple[int, int]:
+    """Rows and columns of a tile, multiples of the patch: in narrow images tiles are taller, in flat ones wider, for the same number of pixels."""
+    whole = lambda n: -(-n // patch_size) * patch_size
+    side = edge_of(patch_size, edge)
+    rows, cols = min(side, whole(height)), min(side, whole(width))
+    area = side * side
+    rows, cols = (edge_of(patch_size, area // cols), cols) if width <= cols else (rows, edge_of(patch_size, area // rows)) if height <= rows else (side, side)
+    return min(rows, whole(height)), min(cols, whole(width))
+
+
+def tiles_of_cells(cells: DataFrame, sizes: DataFrame, rows: int, cols: int, halo: int, height: int, width: int, channels: int) -> DataFrame:
+    """Tiles of ``rows`` by ``cols`` from some positions of images (image_id, r, c and v0, v1, ... for each channel) and all sizes.
+
+    Positions without a row are 0, of several rows of one the largest value counts, those outside of the image are left out. ``height``,
+    ``width`` and ``channels`` are the largest of all images. Rows are packed by tile before the one shuffle.
+    """
+    names = ["image_id", "tr", "tc", "place", "data"]
+    wide, tall = cols + 2 * halo, rows + 2 * halo
+    reach = lambda n: range(-math.ceil(halo / n), math.ceil(halo / n) + 1)
+    steps = [(a, b) for a in reach(rows) for b in reach(cols)]
+
+    def pieces(batches: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        table = pa.Table.from_batches(batches).combine_chunks()
+        image = table.column(0).combine_chunks().dictionary_encode()
+        image = image.combine_chunks() if isinstance(image, pa.ChunkedArray) else image
+        code, r, c = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (image.indices, *(table.column(j).combine_chunks() for j in (1, 2))))
+        v = np.stack([table.column(3 + k).to_numpy() for k in range(channels)], 1)
+        if v.size and (v.min() < 0 or v.max() > 255):
+            raise ValueError("values of pixels are from 0 to 255")
+        parts = []
+        for a, b in steps:
+            tr, tc = r // rows + a, c // cols + b
+            y, x = r - tr * rows + halo, c - tc * cols + halo
+            at = np.flatnonzero((y >= 0) & (y < tall) & (x >= 0) & (x < wide) & (tr >= 0) & (tr * rows < height) & (tc >= 0) & (tc * cols < width))
+            parts.append((at, tr[at], tc[at], (y * wide + x)[at]))
+        at, tr, tc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if not at.size:
+            return None
+        order = np.lexsort((tc, tr, code[at]))
+        at, tr, tc = at[order], tr[order], tc[order]
+        first = np.flatnonzero(np.r_[True, (code[at][1:] != code[at][:-1]) | (tr[1:] != tr[:-1]) | (tc[1:] != tc[:-1])])
+        ends = np.r_[first, at.size]
+        binary = lambda a, size: pa.Array.from_buffers(pa.binary(), first.size, [None, pa.py_buffer((ends * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(a))])
+        key = [image.dictionary.take(pa.array(code[at[first]])), pa.array(tr[first].astype(np.int32)), pa.array(tc[first].astype(np.int32))]
+        return pa.RecordBatch.from_arrays([*key, binary(place[order].astype(np.int32), 4), binary(v[at].astype(np.uint8), channels)], names)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= PACKED_ROWS:
+                if (out := pieces(held)) is not None:
+                    yield out
+                held, n = [], 0
+        if n and (out := pieces(held)) is not None:
+            yield out
+
+    inside = cells.filter(f"image_id is not null and r >= 0 and c >= 0 and r < {height} and c < {width}").select("image_id", "r", "c", *[f"v{k}" for k in range(channels)])
+    packed = inside.mapInArrow(cut, "image_id string, tr int, tc int, place binary, data binary")
+    grouped = packed.groupBy("image_id", "tr", "tc").agg(F.collect_list(F.struct("place", "data")).alias("parts"))
+    span = lambda size, n: F.expr(f"cast(sequence(0, ({size} - 1) div {n}) as array<int>)")
+    every = sizes.filter("h > 0 and w > 0").select("image_id", "h", "w", "channels", F.explode(span("h", rows)).alias("tr"), span("w", cols).alias("tcs"))
+    every = every.select("image_id", "h", "w", "channels", "tr", F.explode("tcs").alias("tc"))
+    keyed = every.join(grouped, ["image_id", "tr", "tc"], "left").select("image_id", "tr", "tc", "h", "w", "channels", "parts")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                image, tr, tc, h, w, own = (batch.column(j)[k].as_py() for j in range(6))
+                data = np.zeros((channels, tall, wide), np.uint8)
+                flat = data.reshape(channels, -1)
+                for p in batch.column(6)[k] if batch.column(6)[k].is_valid else ():
+                    place = np.frombuffer(p["place"].as_buffer(), np.int32)
+                    v = np.frombuffer(p["data"].as_buffer(), np.uint8).reshape(-1, channels)
+                    for ch in range(channels):
+                        np.maximum.at(flat[ch], place, v[:, ch])
+                # Of its own image a tile has no positions beyond the ends.
+                data[:, max(0, h - tr * rows + halo) :] = 0
+                data[:, :, max(0, w - tc * cols + halo) :] = 0
+                for ch in range(own):
+                    yield _tile(image, ch, tr * rows, tc * cols, min(rows, h - tr * rows), min(cols, w - tc * cols), halo, h, w, data[ch], rows)
+
+    return keyed.mapInArrow(join, TILE)
+
+
 def _tile(image, channel, r0, c0, th, tw, halo, h, w, data: np.ndarray, edge: int) -> pa.RecordBatch:
     data = np.ascontiguousarray(data[: th + 2 * halo, : tw + 2 * halo])
     kinds = (pa.string(), *(pa.int32(),) * 8, pa.binary())

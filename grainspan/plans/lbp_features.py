@@ -14,7 +14,7 @@ from ..functions.params import Run, features_per_channel
 from ..operators.features import LONG, PATCH, check_complete, dense, image_sizes, patch_histogram, patches, to_vectors
 from ..operators.lbp import PACKED_POINTS, PLANE_PIXELS, lbp_codes
 from ..operators.masks import KEYS, complete, patch_mask
-from ..operators.tiles import EDGE, edge_of, halo_of, histograms, included_by_tile, masked_tiles, tiles_of_bands, tiles_of_pixels
+from ..operators.tiles import EDGE, edge_of, halo_of, histograms, included_by_tile, masked_tiles, sides, tiles_of_bands, tiles_of_cells, tiles_of_pixels
 
 log = logging.getLogger(__name__)
 
@@ -31,23 +31,27 @@ class Features:
 
 
 def lbp_features(
-    pixels: DataFrame, of: Sequence[Run], patch_size: int, mask: DataFrame | None = None, mask_method: str = "any", plan: str = "auto", output: str = "long", edge: int = EDGE
+    pixels: DataFrame, of: Sequence[Run], patch_size: int, mask: DataFrame | None = None, mask_method: str = "any", plan: str = "auto", output: str = "long", edge: int = EDGE,
+    sizes: DataFrame | None = None,
 ) -> Features:
-    """Features of a pixel table (image_id, channel, r, c, v), or of records of image rows (``plan`` "bands").
+    """Features of a pixel table (image_id, channel, r, c, v), of records of image rows (``plan`` "bands"), or of some positions with
+    a value for each channel (``plan`` "cells": image_id, r, c, v0, v1, ..., others are 0) and ``sizes`` (image_id, h, w, channels).
 
     Every complete patch has every feature. A patch that the mask leaves out has zeros; one that it includes is computed
-    whole. ``plan`` is "native", "tiled", "bands" or "auto" (by size); all give the same counts. ``output`` is "long" or
+    whole. ``plan`` is "native", "tiled", "bands", "cells" or "auto" (by size); all give the same counts. ``output`` is "long" or
     "vector".
     """
     if patch_size < 1:
         raise ValueError("patch_size must be 1 or more")
-    if plan not in ("auto", "native", "tiled", "bands") or output not in ("long", "vector"):
+    if plan not in ("auto", "native", "tiled", "bands", "cells") or output not in ("long", "vector"):
         raise ValueError("unknown plan or output")
+    if (plan == "cells") != (sizes is not None):
+        raise ValueError("sizes are given for cells, and only for them")
     if plan == "bands":
         sizes = pixels.groupBy("image_id").agg(F.max("height").alias("h"), F.max("width").alias("w"), F.max("channels").alias("channels"))
-    else:
+    elif plan != "cells":
         sizes = image_sizes(pixels)
-    found = sizes.agg(F.max("channels").alias("k"), F.sum(F.col("h").cast("long") * F.col("w") * F.col("channels")).alias("n")).first()
+    found = sizes.agg(F.max("channels").alias("k"), F.max("h").alias("h"), F.max("w").alias("w"), F.sum(F.col("h").cast("long") * F.col("w") * F.col("channels")).alias("n")).first()
     channels, total = found["k"] or 1, found["n"] or 0  # of all images
     if plan == "auto":
         small = total * sum(r.npoints for r in of) < TILED_FROM and total <= PLANE_PIXELS and all(r.npoints <= PACKED_POINTS for r in of)
@@ -66,7 +70,12 @@ def lbp_features(
         long = dense(counted, every, channels, of)
         return Features(long if output == "long" else to_vectors(long), included)
     side, halo = edge_of(patch_size, edge), halo_of(of)
-    tiles = tiles_of_bands(pixels, side, halo) if plan == "bands" else tiles_of_pixels(pixels, sizes, side, halo)
+    if plan == "cells":
+        h, w = found["h"] or 0, found["w"] or 0
+        rows, cols = sides(patch_size, edge, max(h, 1), max(w, 1)) if included is None else (side, side)
+        tiles = tiles_of_cells(pixels, sizes, rows, cols, halo, h, w, channels)
+    else:
+        tiles = tiles_of_bands(pixels, side, halo) if plan == "bands" else tiles_of_pixels(pixels, sizes, side, halo)
     if included is not None:
         tiles = masked_tiles(tiles, included, side, patch_size)
     counts = histograms(tiles, of, patch_size)

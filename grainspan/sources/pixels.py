@@ -40,18 +40,33 @@ def from_embeddings(vectors: DataFrame) -> DataFrame:
     return _pixels(parts, "embeddings", F.lit(0), F.col("vec_id"), F.col("c"), F.floor((F.col("e").cast("double") + 1.0) * 127.5))
 
 
+def _lineitem_values() -> list[Column]:
+    return [F.col("l_quantity").cast("int"), F.round(F.col("l_discount") * 100).cast("int"), F.round(F.col("l_tax") * 100).cast("int")]
+
+
+def _lineitem_height(lineitem: DataFrame) -> int:
+    return lineitem.agg(F.max("l_orderkey")).first()[0] + 1
+
+
 def from_lineitem(lineitem: DataFrame, rows: int | None = None) -> DataFrame:
     """Orders down, lines across; channels are quantity, discount and tax in per cent. ``rows`` limits the image's height."""
     if rows is not None:
         lineitem = lineitem.filter(F.col("l_orderkey") < rows)
-    height = rows if rows is not None else lineitem.agg(F.max("l_orderkey")).first()[0] + 1
-    cell = lineitem.groupBy(F.col("l_orderkey").cast("int").alias("r"), (F.col("l_linenumber") - 1).cast("int").alias("c")).agg(
-        F.max(F.col("l_quantity").cast("int")).alias("v0"), F.max(F.round(F.col("l_discount") * 100).cast("int")).alias("v1"), F.max(F.round(F.col("l_tax") * 100).cast("int")).alias("v2")
-    )
+    height = rows if rows is not None else _lineitem_height(lineitem)
+    cell = lineitem.groupBy(F.col("l_orderkey").cast("int").alias("r"), (F.col("l_linenumber") - 1).cast("int").alias("c")).agg(*[F.max(v).alias(f"v{k}") for k, v in enumerate(_lineitem_values())])
     some = cell.select("r", "c", F.posexplode(F.array("v0", "v1", "v2")).alias("channel", "v"))
     return densify(some, "lineitem", int(height), 7, 3)
 
 
+def lineitem_cells(lineitem: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The image of ``from_lineitem`` as positions with a value for each channel (image_id, r, c, v0, v1, v2), where the largest
+    of a position counts and others are 0, and its size (image_id, h, w, channels)."""
+    r, c = F.col("l_orderkey").cast("int").alias("r"), (F.col("l_linenumber") - 1).cast("int").alias("c")
+    cells = lineitem.select(F.lit("lineitem").alias("image_id"), r, c, *[F.coalesce(v, F.lit(0)).alias(f"v{k}") for k, v in enumerate(_lineitem_values())])
+    size = f"'lineitem' as image_id, {int(_lineitem_height(lineitem))} as h, 7 as w, 3 as channels"
+    return cells, lineitem.sparkSession.range(1).selectExpr(*size.split(", "))
+
+
 def from_events(events: DataFrame) -> DataFrame:
     """Users down, hours since 2024 across, 60 for each event up to 255."""
     hour = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 3600000000).cast("int")
